@@ -1,28 +1,16 @@
-"""What the operators share: the shared folder, lineage cuts, hot-key joins, ranks and Arrow slices."""
+"""What the operators share: words, paths in the shared folder, and slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: A key holding more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE such keys.
-HOT_SHARE = 1 / 256
-WORD = r"[^\x20\x09-\x0D]+"
 
+from seqloom.core import cut, join_groups, numbered, shared_dir, with_columns_of
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, named by spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["WORD", "cut", "fresh_dir", "join_groups", "numbered", "shared_dir", "slices", "text_or_empty", "with_columns_of"]
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -30,53 +18,10 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder; later plans start there, also after an executor is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def with_columns_of(df: DataFrame, wanted: dict[str, T.DataType]) -> DataFrame:
-    """Only the columns asked for, cast; a missing one is null. Extra columns of any name go unseen."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner equi-join of rows with one row per key in groups, whose column `count` holds the key's rows.
-
-    Keys above HOT_SHARE of all rows number at most 1 / HOT_SHARE, so those alone are broadcast and their rows stay
-    where they are; the others are shuffled, none larger than that share. Keys must not be null.
-    """
-    limit = max(1000, int(total * HOT_SHARE))
-    hot = groups.where(F.col(count) > limit)
-    rest = groups.where(F.col(count) <= limit)
-    one = rows.join(F.broadcast(hot), keys, "inner")
-    two = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "inner")
-    return one.unionByName(two)
-
-
-def numbered(rows: DataFrame, group: list[str], spread: list[str], order: list[Column], total: int, name: str, cell_rows: int = 50_000) -> DataFrame:
-    """Gapless numbers from 0 in each group, though a group may hold any share of the rows.
-
-    Rows fall into cells by a hash of `spread`, are numbered within (group, cell), and get the rows of earlier cells
-    added: only one counter per (group, cell) is ever ordered in one task.
-    """
-    from pyspark.sql import Window
-
-    cells = max(1, -(-total // cell_rows))
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*spread), F.lit(cells)).cast("int"))
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
-    sums = sums.select(*group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
-    return rows.withColumn("_inner", inner).join(sums, [*group, "_cell"]).withColumn(name, (F.col("_inner") + F.col("_before")).cast("long")).drop("_cell", "_inner", "_before")
-
-
 def slices(batch, size_of, limit: int = 4_000_000):
     """Consecutive (start, stop) row ranges whose sizes sum to about `limit`; one huge row stands alone."""
     start, held = 0, 0
