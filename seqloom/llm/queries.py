@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, mixing, neardup, ogg, sharding
+from seqloom.llm import chat, mixing, neardup, ogg, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,5 +112,35 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id, n.n
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash)}
-SQL = {"op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL}
+def op10_blob_ledger(spark, sf_dir):
+    paths, _ = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return secrets.report(paths)
+
+
+# DuckDB: marks around matches, running lengths of the pieces between them
+OP10_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS x FROM documents),
+k AS (SELECT * FROM (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', 12),
+  (1, 'access', '(AKIA[A-Z0-9]+)', '^', 18), (2, 'hex', '([0-9a-f]+)', '^', 16),
+  (3, 'pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', '^', 1),
+  (4, 'jwt', '(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', '^', 1)) v(rank, kind, pat, head, least)),
+m AS (SELECT rid, rank, kind, head, least, string_split(CASE rank
+    WHEN 0 THEN regexp_replace(x, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(1), 'g')
+    WHEN 1 THEN regexp_replace(x, '(AKIA[A-Z0-9]+)', chr(1) || '\1' || chr(1), 'g')
+    WHEN 2 THEN regexp_replace(x, '([0-9a-f]+)', chr(1) || '\1' || chr(1), 'g')
+    WHEN 3 THEN regexp_replace(x, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', chr(1) || '\1' || chr(1), 'g')
+    ELSE regexp_replace(x, '(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', chr(1) || '\1' || chr(1), 'g') END, chr(1)) AS ps FROM t CROSS JOIN k),
+u AS (SELECT rid, rank, kind, head, least, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM m WHERE len(ps) > 1),
+e AS (SELECT *, sum(length(p)) OVER (PARTITION BY rid, rank ORDER BY i) AS stop FROM u),
+f AS (SELECT rid, rank, kind, (stop - length(p))::BIGINT AS start, stop::BIGINT AS stop FROM e
+      WHERE i % 2 = 0 AND CASE WHEN rank = 0 THEN length(regexp_replace(p, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '')) ELSE length(p) END >= least)
+SELECT t.doc_id, count(CASE WHEN rank = 0 THEN 1 END) AS n_assign, count(CASE WHEN rank = 1 THEN 1 END) AS n_access, count(CASE WHEN rank = 2 THEN 1 END) AS n_hex,
+  sha256(coalesce(string_agg(CASE WHEN rank < 3 THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM t LEFT JOIN f USING (rid) GROUP BY t.rid, t.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger)}
+SQL = {"op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}
