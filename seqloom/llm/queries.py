@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, mixing, neardup, ogg, secrets, sharding
+from seqloom.llm import chat, mixing, neardup, ogg, packing, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,5 +142,27 @@ FROM t LEFT JOIN f USING (rid) GROUP BY t.rid, t.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger)}
-SQL = {"op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}
+def op4_hilbert_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+def op3_chunked_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+# base32 from the SHA-1's bits: 160 bits are 32 letters of 5
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, list_reduce(list_prepend('', list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i:i])::INTEGER), 4, '0'))), lambda x, y: x || y) AS bits FROM p),
+d AS (SELECT page_id, payload_bytes, list_reduce(list_prepend('', list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (1 + 16 * (bits[5*k+1:5*k+1])::INTEGER + 8 * (bits[5*k+2:5*k+2])::INTEGER + 4 * (bits[5*k+3:5*k+3])::INTEGER + 2 * (bits[5*k+4:5*k+4])::INTEGER + (bits[5*k+5:5*k+5])::INTEGER)::BIGINT, 1))), lambda x, y: x || y) AS payload_digest FROM b),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS owner FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to FROM o
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger, op4_hilbert_packing, op3_chunked_warc)}
+SQL = {"op3_chunked_warc": OP3_SQL, "op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}
