@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, mixing, neardup, ogg, packing, secrets, sharding, warc
+from seqloom.llm import ann, chat, mixing, neardup, ogg, packing, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,5 +164,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'r
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger, op4_hilbert_packing, op3_chunked_warc)}
-SQL = {"op3_chunked_warc": OP3_SQL, "op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}
+def op1_vantage_point_trees(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP1_SQL = r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger, op4_hilbert_packing, op3_chunked_warc, op1_vantage_point_trees)}
+SQL = {"op1_vantage_point_trees": OP1_SQL, "op3_chunked_warc": OP3_SQL, "op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}
