@@ -222,7 +222,9 @@ def _across(members: DataFrame, least: float) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one per component, the one with the smallest doc_id; empty texts all stay.
 
-    Decisions go by doc_id; of rows sharing the kept doc_id all stay.
+    Decisions go by doc_id; of rows sharing the kept doc_id all stay. The ids that go are broadcast while there are at
+    most BROADCAST_IDS of them; beyond that both sides are shuffled.
     """
-    kept = components(docs, width, percent).where(F.col("kept")).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = components(docs, width, percent).select("doc_id", "kept")
+    gone = cut(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, chat, mixing, neardup, ogg, packing, secrets, sharding, warc
+from seqloom.llm import ann, chat, langid, mixing, neardup, ogg, packing, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,5 +178,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger, op4_hilbert_packing, op3_chunked_warc, op1_vantage_point_trees)}
+def op9_language_evidence(spark, sf_dir):
+    return langid.identify(langid.of_documents(table(spark, sf_dir, "documents")))
+
+
+def langid_pages(spark, sf_dir):
+    """The same operator over pages, which declare languages in markup and have addresses."""
+    return langid.identify(langid.of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_bin_packing, op5_pareto_mixing, op6_reply_trees, op7_ogg, op8_bbit_minhash, op10_blob_ledger, op4_hilbert_packing, op3_chunked_warc, op1_vantage_point_trees, op9_language_evidence, langid_pages)}
 SQL = {"op1_vantage_point_trees": OP1_SQL, "op3_chunked_warc": OP3_SQL, "op5_pareto_mixing": OP5_SQL, "op6_reply_trees": OP6_SQL, "op8_bbit_minhash": OP8_SQL, "op10_blob_ledger": OP10_SQL}

@@ -136,7 +136,7 @@ def report(paths: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", salts: int = 8) -> DataFrame:
-    """docs with every finding in `text` replaced; overlapping findings by one mask. Other columns stay as they are."""
+    """docs with every finding in `text` replaced; overlapping findings by one mask. n_chars follows the text."""
     _, new = scan_documents(docs)
     at = F.explode("findings").alias("f")
     spans = new.select("blob", at).select("blob", "f.start", "f.end")
@@ -154,4 +154,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", salts: int = 8) -> DataFrame
     starts = F.concat(F.col("cuts.start"), F.array(F.length("row.text")))
     kept = F.zip_with(ends, starts, lambda e, s: F.col("row.text").substr(e + 1, s - e))
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, mask))
-    return rows.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in columns])
+    # n_chars counts the text's characters where the table has it
+    size = F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None
+    return rows.select(*[(text if c == "text" else size if c == "n_chars" else F.col("row")[c]).alias(c) for c in columns])
