@@ -44,7 +44,8 @@ def _ranges(chars: list[int]) -> str:
     return "".join(out)
 
 
-_PLAIN = [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x250)]
+# whose lower case is among them
+_PLAIN = [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x180)]
 _KIND = {k: _ranges([c for c in _PLAIN if unicodedata.category(chr(c))[0] == k]) for k in "LN"}
 _BLANK = r"\t\n\r \xa0"
 #: Outside these characters lower-casing, normal forms and character classes are left to the library.

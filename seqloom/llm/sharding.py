@@ -1,10 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Documents with equal texts form a group that stays together unless it exceeds a shard. Each group goes where the dot
-product of its (bytes, tokens, rows) with the shard's residual capacity is highest. Groups holding more than a
-quarter of a shard in any measure are few; they are placed first. The others fall by hash into blocks of bounded
-size; every block packs its own groups into its own share of what is left, so that blocks run in parallel and their
-shares add up. Only numbers and digests are shuffled, never texts.
+product of its (bytes, tokens, rows) with the shard's residual capacity is highest. The TOP largest groups are placed
+first, in one go. The others, each a tiny share, fall by hash into blocks of bounded size; every block packs its own
+groups into its own share of what is left, so that blocks run in parallel and their shares add up. Only numbers and
+digests are shuffled, never texts.
 
 A null text counts as empty. Rows with equal doc_id stay rows of their own. An empty table gives no rows.
 """
@@ -22,20 +22,28 @@ from seqloom.llm.common import WORD, cut, numbered, text_or_empty, with_columns_
 SHARDS = 16
 #: Groups packed by one task on average.
 BLOCK_GROUPS = 20_000
-#: A group with more than this part of a shard is placed ahead of the others; at most 3 * shards / BIG_PART exist.
-BIG_PART = 1 / 4
+#: Groups placed ahead of the others, on the driver: at most so many rows of 60 bytes.
+TOP = 20_000
 
 
 def pack(sizes: np.ndarray, residual: np.ndarray) -> np.ndarray:
     """The bin of every row of sizes (n x 3, nonnegative); residual (bins x 3) is lowered in place.
 
-    Largest first. Each item goes where item . residual is highest, all in units of the total size.
+    Largest first. Of the bins an item fits into, it goes where item . residual is highest, all in units of the total
+    size. If it fits nowhere, it goes where its bytes fit and the other measures overflow least; if not even its bytes
+    fit, where most bytes are left: bytes, the law of these shards, come first.
     """
     scale = np.maximum(sizes.sum(axis=0), 1e-300)
     items, left = sizes / scale, residual / scale
     bins = np.empty(len(items), np.int32)
     for i in np.lexsort((np.arange(len(items)), -items.sum(axis=1))):
-        k = int(np.argmax(left @ items[i]))
+        after = (left - items[i]).min(axis=1)
+        fits = after >= 0
+        roomy = left[:, 0] >= items[i, 0]
+        if fits.any():
+            k = int(np.argmax(np.where(fits, left @ items[i], -1.0)))
+        else:
+            k = int(np.argmax(np.where(roomy, after, -np.inf) if roomy.any() else left[:, 0]))
         bins[i] = k
         left[k] -= items[i]
     residual[:] = left * scale
@@ -63,14 +71,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = cut(rows.groupBy("gid").agg(*sums))
     share = F.greatest(*[F.col(c) / F.lit(max(float(t), 1.0)) for c, t in zip(("bytes", "tokens", "rows"), total)])
     groups = groups.withColumn("share", share)
-    limit = BIG_PART / shards
-    big = groups.where(F.col("share") > limit)
-    # a group beyond a whole shard is cut by a hash of doc_id into parts of about a quarter of a shard
-    parts = F.when(F.col("share") > 1.0 / shards, F.ceil(F.col("share") / limit)).otherwise(F.lit(1)).cast("long")
-    big = F.broadcast(big.select("gid", parts.alias("parts")))
-    in_big = rows.join(big, "gid").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    # bounded: under 3 * shards / BIG_PART groups of at most shards / BIG_PART parts in all a measure
-    placed = in_big.groupBy("gid", "part").agg(*sums).orderBy("gid", "part").toPandas()
+    top = groups.orderBy(F.col("share").desc(), "gid").limit(TOP).toPandas()
+    # a group beyond a whole shard is cut by a hash of doc_id into parts of about a quarter of one; under 3 * shards are
+    top["parts"] = np.where(top.share > 1 / shards, np.ceil(top.share * shards * 4), 1).astype("int64")
+    spark = docs.sparkSession
+    cuts = [(bytes(r.gid), int(r.parts)) for r in top[top.parts > 1].itertuples()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "gid binary, parts long"))
+    in_parts = rows.join(cuts, "gid").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    parts = in_parts.groupBy("gid", "part").agg(*sums).orderBy("gid", "part").toPandas()
+    whole = top[top.parts == 1].assign(part=0)
+    placed = pd.concat([parts, whole], ignore_index=True) if len(parts) else whole.reset_index(drop=True)
     residual = np.tile(total / shards, (shards, 1))
     placed["shard"] = pack(placed[["bytes", "tokens", "rows"]].to_numpy(float).reshape(-1, 3), residual)
     residual = np.maximum(residual, 0)
@@ -79,17 +89,24 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     def pack_block(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("gid", ignore_index=True)
         sizes = block[["bytes", "tokens", "rows"]].to_numpy(float)
-        return pd.DataFrame({"gid": block.gid, "shard": pack(sizes, fractions * sizes.sum(axis=0))})
+        # another order of shards in each block, so that ties don't favour the same one everywhere
+        turn = np.random.Generator(np.random.PCG64(int(block.block.iloc[0]))).permutation(shards)
+        return pd.DataFrame({"gid": block.gid, "shard": turn[pack(sizes, (fractions * sizes.sum(axis=0))[turn])].astype("int32")})
 
-    small = groups.where(F.col("share") <= limit)
+    if len(top) < TOP:
+        small = groups.limit(0)
+    else:
+        least, gid = float(top.share.iloc[-1]), bytes(top.gid.iloc[-1])
+        small = groups.where((F.col("share") < least) | ((F.col("share") == least) & (F.col("gid") > F.lit(gid))))
     blocks = max(1, -(-small.count() // BLOCK_GROUPS))
     small = small.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(blocks))).select("block", "gid", "bytes", "tokens", "rows")
     packed = small.groupBy("block").applyInPandas(pack_block, "gid binary, shard int")
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(bytes(r.gid), int(r.part), int(r.shard)) for r in placed.itertuples()], "gid binary, part long, shard int")
-    one = in_big.join(F.broadcast(table), ["gid", "part"])
-    # at most BIG_PART of a shard of rows share a gid here
-    two = rows.join(F.broadcast(big.select("gid")), "gid", "left_anti").join(packed, "gid")
+    table = [(bytes(r.gid), int(r.part), int(r.shard)) for r in placed.itertuples()]
+    table = F.broadcast(spark.createDataFrame(table, "gid binary, part long, shard int"))
+    known = rows.join(cuts.select("gid", "parts"), "gid", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
+    one = known.join(table, ["gid", "part"])
+    # groups here are smaller than the TOP largest
+    two = rows.join(table.select("gid").distinct(), "gid", "left_anti").join(packed, "gid")
     columns = ["doc_id", "size", "text_crc32", "gid", "shard"]
     out = cut(one.select(*columns).unionByName(two.select(*columns)))
     out = numbered(out, ["shard"], ["doc_id", "gid"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], int(total[2]), "slot")
