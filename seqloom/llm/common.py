@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.core import cut, join_groups, numbered, shared_dir, with_columns_of
 
-__all__ = ["WORD", "cut", "fresh_dir", "join_groups", "numbered", "shared_dir", "slices", "text_or_empty", "with_columns_of"]
+__all__ = ["WORD", "cut", "fresh_dir", "join_groups", "numbered", "released", "shared_dir", "slices", "text_or_empty", "with_columns_of"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,3 +32,24 @@ def slices(batch, size_of, limit: int = 4_000_000):
             start, held = i + 1, 0
     if start < batch.num_rows:
         yield start, batch.num_rows
+
+
+def released(work):
+    """A function of Arrow batches that gives freed memory back at its end: a Python worker outlives its task and
+    waits, beside the executor's heap, with all it ever held."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run

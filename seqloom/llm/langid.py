@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, with_columns_of
+from seqloom.llm.common import cut, released, with_columns_of
 from seqloom.llm.shingles import text_slices
 
 #: Labelled rows the text model is fitted on, about; if there are more, those with small hashes of id and length.
@@ -86,7 +86,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
 
     # one 256 KB row per language and task, of a sample whose size is bounded
     total: dict[str, np.ndarray] = {}
-    for r in sample.repartition(4).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in sample.repartition(4).mapInArrow(released(count), "lang string, counts binary").toLocalIterator():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
     langs = sorted(total)
     if not langs:
@@ -115,7 +115,7 @@ def text_scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFra
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(letters_of(data, offsets), pa.int64()), pa.array(list(scores), pa.list_(pa.float64()))], schema=target)
 
-    return docs.select(*[f.name for f in others], "text").mapInArrow(rows, schema)
+    return docs.select(*[f.name for f in others], "text").mapInArrow(released(rows), schema)
 
 
 def _one_hot(lang: Column, langs: list[str], weight: float) -> Column:

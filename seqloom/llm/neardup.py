@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, join_groups, with_columns_of
+from seqloom.llm.common import cut, join_groups, released, with_columns_of
 from seqloom.llm.shingles import shingle_sets, text_slices
 from seqloom.operators.graph import connected_components
 
@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 arrays = [batch.column(0)[a:b], *(pa.array(c, f.type) for c, f in zip(cols, list(target)[1:]))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(released(rows), schema)
 
 
 def _picked_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
                             found.append((first[i], nid[i]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    return rows.select("a", "salt", "role", "nid", "ck", "text").mapInArrow(matches, schema).distinct()
+    return rows.select("a", "salt", "role", "nid", "ck", "text").mapInArrow(released(matches), schema).distinct()
 
 
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seqloom.llm.common import slices, with_columns_of
+from seqloom.llm.common import released, slices, with_columns_of
 
 PACKET, RATE, UNIT = 16_000, 8_000, 64
 SERIAL_PCM, SERIAL_META = 1, 2
@@ -163,4 +163,4 @@ def media_table(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                     out.append(row | ({"media": stored} if keep_media else {}))
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(released(rows), schema)

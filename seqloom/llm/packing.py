@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, with_columns_of
+from seqloom.llm.common import cut, released, with_columns_of
 
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH, SALT_BITS = 3, 16, 15
 VECTOR = 1024
 _RNG = np.random.Generator(np.random.PCG64(4099))
 _PROJECT = _RNG.standard_normal((VECTOR, DIMENSIONS))
-#: Words whose ids a Python worker remembers; beyond, it starts anew.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
+CACHE_WORDS = 150_000
 
 
 def _ranges(chars: list[int]) -> str:
@@ -70,6 +70,7 @@ class WordTokenizer:
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.type = np.dtype("<u2") if self.whole.get_vocab_size() < 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
@@ -82,12 +83,12 @@ class WordTokenizer:
         words = _WORDS.findall(text.lower())
         ids = list(map(self.known.get, words))
         if None in ids:
+            for w, x in zip(words, ids):
+                if x is None and w not in self.known:
+                    self.known[w] = self.older.get(w) or self.word(w)
+            ids = list(map(self.known.__getitem__, words))
             if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            for w in set(words):
-                if w not in self.known:
-                    self.known[w] = self.word(w)
-            ids = map(self.known.__getitem__, words)
+                self.known, self.older = {}, self.known
         return b"".join(ids)
 
 
@@ -163,7 +164,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(vectors)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], schema=target)
 
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n"), F.lit(1 << SALT_BITS))
-    return docs.mapInArrow(rows, schema).withColumn("key", F.shiftleft("key", SALT_BITS) + salt)
+    return docs.mapInArrow(released(rows), schema).withColumn("key", F.shiftleft("key", SALT_BITS) + salt)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_ids: bool = True) -> DataFrame:
@@ -175,12 +176,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_
     bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
     bounds = sorted(set(bounds or []))
 
-    def bucket(keys):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "left").astype(np.int32))
-
-    rows = rows.withColumn("bucket", F.pandas_udf(bucket, "int")("key"))
+    below = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    rows = rows.withColumn("bucket", F.size(F.filter(below, lambda b: b < F.col("key"))))
     # one row per range of keys, as many as there are shuffle partitions
     sums = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     first, at = {}, 0
@@ -215,4 +212,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
 
     moved = rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
-    return moved.select("doc_id", "bucket", "ids").mapInArrow(pieces, schema)
+    return moved.select("doc_id", "bucket", "ids").mapInArrow(released(pieces), schema)
