@@ -71,7 +71,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = cut(rows.groupBy("gid").agg(*sums))
     share = F.greatest(*[F.col(c) / F.lit(max(float(t), 1.0)) for c, t in zip(("bytes", "tokens", "rows"), total)])
     groups = groups.withColumn("share", share)
-    top = groups.orderBy(F.col("share").desc(), "gid").limit(TOP).toPandas()
+    # a histogram of shares by powers of 2**(1/8) tells from which share on there are at most TOP groups
+    step = F.floor(F.log2("share") * 8).cast("int")
+    histogram = groups.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect()
+    number, least = 0, None
+    for r in histogram:
+        number += r["count"]
+        if number > TOP:
+            break
+        least = r.step
+    top = groups.where(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["share", "gid"], ascending=[False, True], ignore_index=True)
     # a group beyond a whole shard is cut by a hash of doc_id into parts of about a quarter of one; under 3 * shards are
     top["parts"] = np.where(top.share > 1 / shards, np.ceil(top.share * shards * 4), 1).astype("int64")
     spark = docs.sparkSession
@@ -93,11 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         turn = np.random.Generator(np.random.PCG64(int(block.block.iloc[0]))).permutation(shards)
         return pd.DataFrame({"gid": block.gid, "shard": turn[pack(sizes, (fractions * sizes.sum(axis=0))[turn])].astype("int32")})
 
-    if len(top) < TOP:
-        small = groups.limit(0)
-    else:
-        least, gid = float(top.share.iloc[-1]), bytes(top.gid.iloc[-1])
-        small = groups.where((F.col("share") < least) | ((F.col("share") == least) & (F.col("gid") > F.lit(gid))))
+    small = groups.where(step < least) if least is not None else groups
     blocks = max(1, -(-small.count() // BLOCK_GROUPS))
     small = small.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(blocks))).select("block", "gid", "bytes", "tokens", "rows")
     packed = small.groupBy("block").applyInPandas(pack_block, "gid binary, shard int")
