@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from seqloom.plans import designs, mining, similar, strings
+from seqloom.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "designs", "mining", "similar", "strings"]
