@@ -445,7 +445,7 @@ def prp21(spark, sf):
     return D.ks(long_values(spark, sf)).select("property", "ks_stat", c.alias("critical"), (F.col("ks_stat") <= c).alias("is_similar"))
 
 
-@query("SNK-5", "WITH q AS (SELECT count(value) AS n, greatest(1.06 * stddev_samp(value) * pow(count(value), -0.2), 1e-12) AS h FROM events), g AS (SELECT unnest([0.0, 10.0, 20.0, 40.0, 80.0, 160.0])::DOUBLE AS x) SELECT x, sum(exp(-((x - value) / h) ** 2 / 2)) / max(n) / max(h) / sqrt(2 * pi()) AS density FROM events CROSS JOIN q CROSS JOIN g GROUP BY x")
+@query("SNK-5", "WITH q AS (SELECT count(value) AS n, greatest(1.06 * stddev_samp(value) * pow(count(value), -0.2), 1e-12) AS h FROM events), g AS (SELECT unnest([0.0, 10.0, 20.0, 40.0, 80.0, 160.0])::DOUBLE AS x) SELECT x, sum(exp(-(((x - value) / h) ** 2) / 2)) / max(n) / max(h) / sqrt(2 * pi()) AS density FROM events CROSS JOIN q CROSS JOIN g GROUP BY x")
 def snk5(spark, sf):
     return D.density(table(spark, sf, "events").select("value"), "value", [0.0, 10.0, 20.0, 40.0, 80.0, 160.0])
 

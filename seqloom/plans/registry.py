@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import designs, mining, similar, strings
+from seqloom.plans import designs, mining, others, similar, strings
 from seqloom.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "designs", "mining", "similar", "strings"]
+__all__ = ["QUERIES", "SQL", "designs", "mining", "others", "similar", "strings"]

@@ -17,7 +17,7 @@ from seqloom.functions.text import AMINO
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """header, sequence: records begin at >, bodies may span lines, blank lines don't count. Records are split while
     reading, so a file's records spread over tasks."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("r")).where(F.trim("r") != "")
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("r")).where(F.col("r").rlike(r"\S"))
     lines = F.split("r", r"\r?\n", 2)
     return rows.select(F.trim(lines[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), r"\s+", "").alias("sequence"))
 
@@ -91,9 +91,9 @@ def write_split(split: DataFrame, path: str, kind: str = "json") -> None:
 def read_cluster_listing(spark: SparkSession, path: str) -> DataFrame:
     """cluster_id, id, is_representative of a listing whose clusters begin at >Cluster n and whose members read
     'i  nnaa, >name... *' (the representative) or '... at p%'."""
-    rows = spark.read.option("lineSep", ">Cluster ").text(path).where(F.trim("value") != "")
+    rows = spark.read.option("lineSep", ">Cluster ").text(path).where(F.col("value").rlike(r"\S"))
     lines = F.split("value", r"\r?\n")
-    members = rows.select(F.trim(lines[0]).alias("cluster_id"), F.explode(F.slice(lines, 2, F.size(lines))).alias("line")).where(F.trim("line") != "")
+    members = rows.select(F.trim(lines[0]).alias("cluster_id"), F.explode(F.slice(lines, 2, F.size(lines))).alias("line")).where(F.col("line").rlike(r"\S"))
     return members.select("cluster_id", F.regexp_extract("line", r">(.+?)\.\.\.", 1).alias("id"), F.rtrim("line").endswith("*").alias("is_representative"))
 
 
@@ -120,7 +120,7 @@ def write_pool(pool: DataFrame, path: str) -> None:
 
 def read_monomers(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of an SDF file: its properties as a map, its connection table as text."""
-    rows = spark.read.option("lineSep", "$$$$").text(path).where(F.trim("value") != "")
+    rows = spark.read.option("lineSep", "$$$$").text(path).where(F.col("value").rlike(r"\S"))
     entries = F.regexp_extract_all("value", F.lit(r">\s*<([^>]+)>[^\n]*\n([^\n]*)"), F.lit(0))
     pairs = F.transform(entries, lambda e: F.struct(F.regexp_extract(e, r"<([^>]+)>", 1).alias("k"), F.regexp_extract(e, r"\n([^\n]*)", 1).alias("v")))
     return rows.select(F.map_from_entries(pairs).alias("properties"), F.split("value", r"M  END")[0].alias("molblock"))
