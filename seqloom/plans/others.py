@@ -77,7 +77,7 @@ def snk1(spark, sf):
     return df.select("split_set", F.inline(F.array(*parts))).select("split_set", F.explode("ids").alias("id"), "split")
 
 
-@query("SRC-11", "SELECT DISTINCT p_name AS sequence FROM part ORDER BY 1")
+@query("SNK-2", "SELECT DISTINCT p_name AS sequence FROM part")
 def snk2(spark, sf):
     """A pool written as CSV and read again."""
     path = _place(spark, "pool")
@@ -132,3 +132,152 @@ def stream2(spark, sf):
     live = spark.readStream.schema(table(spark, sf, "events").schema).parquet(_stream_dir(sf, "events"))
     once = incremental.distinct_within(live.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"), "ts", "3650 days", "user_id", "event_type")
     return incremental.drain(once, f"seen_{uuid.uuid4().hex}").select("user_id", "event_type")
+
+
+# files: each writes what it then reads
+
+
+def _local(spark, kind: str) -> str:
+    import os
+
+    path = _place(spark, kind).removeprefix("file://").removeprefix("file:")
+    os.makedirs(path)
+    return path
+
+
+@query("SRC-3", "SELECT upper(p_name) AS feature, count(*) AS n FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1")
+def src3(spark, sf):
+    path = _place(spark, "feature")
+    names(spark, sf).select(F.upper("sequence").alias("feature")).coalesce(1).write.csv(path, header=True)
+    import glob
+
+    local = path.removeprefix("file://").removeprefix("file:")
+    return readers.read_feature(spark, glob.glob(f"{local}/*.csv")[0]).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query("SRC-6", "SELECT 'seed_1' AS split_set, 'train' AS split, unnest([1, 2, 3])::BIGINT AS id UNION ALL SELECT 'seed_1', 'test', 4")
+def src6(spark, sf):
+    import json
+
+    path = f"{_local(spark, 'splits')}/random.json"
+    with open(path, "w") as out:
+        json.dump({f"seed_{i}": {"train": [1, 2, 3], "valid": [], "test": [4]} for i in range(2)}, out)
+    return readers.read_split(spark, path, 1)
+
+
+@query("SRC-7", "SELECT d.doc_id AS id, d.lang, length(d.text)::BIGINT AS own FROM documents d")
+def src7(spark, sf):
+    """A user's feature beside the table's own, by id."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    own = d.select("id", F.length("text").cast("long").alias("own"))
+    return d.select("id", "lang").join(own, "id")
+
+
+@query("SRC-9", f"WITH {NAMES} SELECT '>seq' || id AS header, sequence FROM s")
+def src9(spark, sf):
+    path = _place(spark, "fasta")
+    readers.write_fasta(names(spark, sf), path)
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.split(F.regexp_replace("value", r"^>?", ">"), "\n").alias("x"))
+    return rows.select(F.col("x")[0].alias("header"), F.col("x")[1].alias("sequence"))
+
+
+@query("SRC-12", "SELECT 'pos' AS flag, n_name AS sequence FROM nation UNION ALL SELECT 'neg', r_name FROM region")
+def src12(spark, sf):
+    """Differently named columns of two sources as one."""
+    a = table(spark, sf, "nation").select(F.lit("pos").alias("flag"), F.col("n_name").alias("sequence"))
+    return a.unionByName(table(spark, sf, "region").select(F.lit("neg").alias("flag"), F.col("r_name").alias("sequence")))
+
+
+def _nation_groups(spark, sf):
+    n = table(spark, sf, "nation")
+    return n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+
+
+@query("SRC-14", "SELECT n_regionkey::VARCHAR AS cluster_id, n_name AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) = 1 AS is_representative FROM nation")
+def src14(spark, sf):
+    path = _place(spark, "clstr")
+    lines = F.array_join(F.transform("names", lambda x, i: F.concat(i.cast("string"), F.lit("\t8aa, >"), x, F.when(i == 0, "... *").otherwise("... at 90%"))), "\n")
+    _nation_groups(spark, sf).select(F.concat(F.lit(">Cluster "), F.col("n_regionkey").cast("string"), F.lit("\n"), lines)).write.text(path)
+    return readers.read_cluster_listing(spark, path)
+
+
+@query("SRC-15", "SELECT first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS cluster_id, n_name AS id FROM nation")
+def src15(spark, sf):
+    path = _place(spark, "tsv")
+    _nation_groups(spark, sf).select(F.col("names")[0].alias("r"), F.explode("names").alias("m")).write.csv(path, sep="\t")
+    return readers.read_representative_pairs(spark, path)
+
+
+@query("SRC-16", "SELECT n_name AS abbr, n_regionkey::VARCHAR AS kind FROM nation")
+def src16(spark, sf):
+    path = _place(spark, "sdf")
+    record = F.concat(F.col("n_name"), F.lit("\nM  END\n> <abbr>\n"), F.col("n_name"), F.lit("\n\n> <kind>\n"), F.col("n_regionkey").cast("string"), F.lit("\n\n$$$$"))
+    table(spark, sf, "nation").select(record).write.text(path)
+    return readers.read_monomers(spark, path).select(F.col("properties")["abbr"].alias("abbr"), F.col("properties")["kind"].alias("kind"))
+
+
+@query("SRC-17", "SELECT 'run_' || r_regionkey AS run, 'test' AS split, 'accuracy' AS metric, r_regionkey / 10 AS value FROM region")
+def src17(spark, sf):
+    import json
+    import os
+
+    path = _local(spark, "runs")
+    for r in table(spark, sf, "region").collect():  # five rows, one file each
+        os.makedirs(f"{path}/run_{r.r_regionkey}")
+        with open(f"{path}/run_{r.r_regionkey}/metrics.json", "w") as out:
+            json.dump({"test": {"accuracy": r.r_regionkey / 10}}, out)
+    return readers.read_results(spark, path)
+
+
+@query("SNK-3", f"WITH {NAMES} SELECT (value // 5)::VARCHAR AS cluster_id, list(id ORDER BY id) AS ids FROM s GROUP BY 1")
+def snk3(spark, sf):
+    """A clustering as JSON and back."""
+    from seqloom.operators.cluster import as_map
+
+    path = _place(spark, "clusters")
+    as_map(names(spark, sf).select(F.expr("cast(value div 5 as string)").alias("cluster_id"), "id")).write.json(path)
+    return spark.read.schema("cluster_id string, ids array<bigint>").json(path)
+
+
+@query("SNK-4", "SELECT o_orderstatus AS split, 'price' AS metric, avg(o_totalprice) AS mean FROM orders GROUP BY 1")
+def snk4(spark, sf):
+    path = _place(spark, "results")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("split"), F.lit("price").alias("metric"), F.col("o_totalprice").alias("value"))
+    readers.write_results(runs, metrics.summarise_runs(runs), path)
+    return spark.read.schema("split string, metric string, mean double").json(f"{path}/summary")
+
+
+@query("SPL-21", "SELECT unnest(['balanced', 'nearest', 'random', 'round_robin', 'size_aware', 'sort_cluster_size']) AS strategy")
+def spl21(spark, sf):
+    return spark.createDataFrame([(x,) for x in split.STRATEGIES], "strategy string")
+
+
+@query("NEG-19", "SELECT unnest(['bin', 'hybrid_property_kmer', 'kde', 'mmd', 'moment', 'nn', 'ot', 'random']) AS sampler")
+def neg19(spark, sf):
+    from seqloom.operators.sampling import REGISTRY
+
+    return spark.createDataFrame([(x,) for x in REGISTRY], "sampler string")
+
+
+@query("ML-3")
+def ml3(spark, sf):
+    """Scores of a model with probabilities and of one with decision values."""
+    rows = vectors(spark, sf).withColumn("label", (F.col("label") % 2).cast("int"))
+    rows = rows.join(split.random_split(rows), "id")
+    both = [models.run(rows, m).withColumn("model", F.lit(m)) for m in ("logistic", "svm")]
+    return both[0].unionByName(both[1])
+
+
+@query("STR-3", "SELECT 20 AS n_letters, true AS is_order")
+def str3(spark, sf):
+    from seqloom.functions.text import AMINO
+
+    return spark.createDataFrame([(len(AMINO), sorted(AMINO) == list(AMINO))], "n_letters int, is_order boolean")
+
+
+@query("SRC-11", "SELECT DISTINCT p_type AS sequence FROM part WHERE p_type IS NOT NULL")
+def src11(spark, sf):
+    """One column of a CSV file, nulls dropped."""
+    path = _place(spark, "csv")
+    table(spark, sf, "part").select("p_partkey", "p_type").write.csv(path, header=True)
+    return spark.read.csv(path, header=True).select(F.col("p_type").alias("sequence")).dropna().distinct()
