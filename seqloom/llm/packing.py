@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ VECTOR = 1024
 _RNG = np.random.Generator(np.random.PCG64(4099))
 _PROJECT = _RNG.standard_normal((VECTOR, DIMENSIONS))
 #: Words whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 
 
 def _ranges(chars: list[int]) -> str:
@@ -50,7 +51,33 @@ _KIND = {k: _ranges([c for c in _PLAIN if unicodedata.category(chr(c))[0] == k])
 _BLANK = r"\t\n\r \xa0"
 #: Outside these characters lower-casing, normal forms and character classes are left to the library.
 _ODD = re.compile(f"[^{_ranges(_PLAIN)}]|<\\|(?:start|end)oftext\\|>")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KIND['L']}]+|[{_KIND['N']}]|[^{_BLANK}{_KIND['L']}{_KIND['N']}]+")
+# letters first, as most words are; only an apostrophe can begin two of the others
+_WORDS = re.compile(f"[{_KIND['L']}]+|'(?:s|t|re|ve|m|ll|d)|[{_KIND['N']}]|[^{_BLANK}{_KIND['L']}{_KIND['N']}]+")
+#: Bytes of plain text in UTF-8, with C2 (which also begins control characters) left out.
+_PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+
+
+def is_plain(text: str) -> bool:
+    """Whether _ODD is nowhere in the text; most are told by their bytes."""
+    if "oftext|>" not in text:
+        data = text.encode()
+        if not data.translate(None, _PLAIN_BYTES) and b"\xc4\xb0" not in data:
+            return True
+    return not _ODD.search(text)
+
+
+class _Known(dict):
+    """Word -> ids, computed when first asked for, or taken from the words known before."""
+
+    def __init__(self, compute, older: dict):
+        self.compute, self.older = compute, older
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self.compute(word)
+        self[word] = out
+        return out
 
 
 class WordTokenizer:
@@ -69,27 +96,22 @@ class WordTokenizer:
         others = [b for b in range(256) if b not in printable]
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.type = np.dtype("<u2") if self.whole.get_vocab_size() < 65536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.known = _Known(self.word, {})
 
     def word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
-        return np.array(ids, self.type).tobytes()
+        # printable ASCII stands for itself among the file's byte names
+        name = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids end to end, in `type`."""
-        if _ODD.search(text):
+        if not is_plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        words = _WORDS.findall(text.lower())
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            for w, x in zip(words, ids):
-                if x is None and w not in self.known:
-                    self.known[w] = self.older.get(w) or self.word(w)
-            ids = list(map(self.known.__getitem__, words))
-            if len(self.known) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-        return b"".join(ids)
+        ids = b"".join(map(self.known.__getitem__, _WORDS.findall(text.lower())))
+        if len(self.known) > CACHE_WORDS:
+            self.known = _Known(self.word, dict(self.known))
+        return ids
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
