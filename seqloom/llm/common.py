@@ -36,21 +36,17 @@ def slices(batch, size_of, limit: int = 4_000_000):
 
 def released(work):
     """A function of Arrow batches that gives freed memory back at its end: a Python worker outlives its task and
-    waits, beside the executor's heap, with all it ever held. Meanwhile nothing looks for cycles of garbage: the work
-    makes millions of small objects and no cycles, and the search would take up to two fifths of the time."""
+    waits, beside the executor's heap, with all it ever held."""
 
     def run(batches):
-        import gc
-
-        gc.disable()
         try:
             yield from work(batches)
         finally:
             import ctypes
+            import gc
 
             import pyarrow
 
-            gc.enable()
             gc.collect()
             pyarrow.default_memory_pool().release_unused()
             if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, released, with_columns_of
+from seqloom.llm.common import cut, released, slices, with_columns_of
+from seqloom.llm.shingles import span_hashes
 
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH, SALT_BITS = 3, 16, 15
@@ -31,7 +32,7 @@ VECTOR = 1024
 _RNG = np.random.Generator(np.random.PCG64(4099))
 _PROJECT = _RNG.standard_normal((VECTOR, DIMENSIONS))
 #: Words whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 
 
 def _ranges(chars: list[int]) -> str:
@@ -98,6 +99,8 @@ class WordTokenizer:
         self.type = np.dtype("<u2") if self.whole.get_vocab_size() < 65536 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.known = _Known(self.word, {})
+        self.by_hash: dict[int, bytes] = {}
+        self.older_by_hash: dict[int, bytes] = {}
 
     def word(self, word: str) -> bytes:
         # printable ASCII stands for itself among the file's byte names
@@ -114,6 +117,64 @@ class WordTokenizer:
         return ids
 
 
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Texts of ASCII and accented letters without an apostrophe are cut into words together, as
+        bytes, and only the distinct words of them all (told apart by 64-bit hashes) are looked up; others go one by one."""
+        out: list = [None] * len(texts)
+        simple, lower = [], []
+        for i, text in enumerate(texts):
+            data = b"" if "'" in text or "oftext|>" in text else text.encode()
+            if data and not data.translate(None, _SIMPLE_BYTES) and not any(x in data for x in _NO_LETTERS):
+                simple.append(i)
+                lower.append(text.lower().encode())
+            else:
+                out[i] = np.frombuffer(self(text), self.type)
+        if simple:
+            joined = b" ".join(lower)
+            data = np.frombuffer(joined, np.uint8)
+            kind = _CLASS[data]
+            new = np.ones(len(data), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+            edges = np.flatnonzero(new)
+            ends = np.append(edges[1:], len(data))
+            solid = kind[edges] > 0
+            start, end = edges[solid], ends[solid]
+            hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+            keys = hashes.tolist()
+            ids = list(map(self.by_hash.get, keys))
+            for j, x in enumerate(ids):
+                if x is None:
+                    x = self.older_by_hash.get(keys[j])
+                    if x is None:
+                        at = first[j]
+                        x = self.word(joined[start[at] : end[at]].decode())
+                    ids[j] = self.by_hash[keys[j]] = x
+            if len(self.by_hash) > CACHE_WORDS:
+                self.by_hash, self.older_by_hash = {}, self.by_hash
+            flat = np.frombuffer(b"".join(ids), self.type)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+            begins = np.cumsum(sizes) - sizes
+            each = sizes[which]
+            upto = np.cumsum(each)
+            all_ids = flat[np.repeat(begins[which] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
+            # where each text's words begin, then where its ids do
+            places = np.cumsum([0] + [len(x) + 1 for x in lower])
+            words = np.searchsorted(start, places)
+            bounds = np.concatenate([[0], upto])[words]
+            for k, i in enumerate(simple):
+                out[i] = all_ids[bounds[k] : bounds[k + 1]]
+        return out
+
+
+#: Bytes of texts that are cut as bytes: ASCII, and the accented letters of C3 to C5 but for two signs and one letter.
+_SIMPLE_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+_NO_LETTERS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+#: 0 blank, 1 letter, 2 digit, 3 other.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = 1
+_CLASS[48:58] = 2
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -169,20 +230,17 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target, tok, pack = to_arrow_schema(schema), tokenizer(path), zstandard.ZstdCompressor(level=1)
-        mark = np.array([end], tok.type).tobytes()
+        mark = np.array([end], tok.type)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                vectors = np.zeros((part.num_rows, VECTOR), np.float32)
-                counts, packed = [], []
-                for i, text in enumerate(part.column(1)):
-                    ids = tok(text.as_py() or "") + mark
-                    x = np.frombuffer(ids, tok.type)
-                    # multiplicative hash of the ids to VECTOR cells
-                    cells = (x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
-                    vectors[i] = np.bincount(cells, minlength=VECTOR)
-                    counts.append(len(x))
-                    packed.append(pack.compress(ids))
+            for a, b in slices(batch, lambda i: len(batch.column(1)[i].as_buffer() or b"") + 1, 500_000):
+                part = batch.slice(a, b - a)
+                ids = [np.concatenate([x, mark]) for x in tok.many([t or "" for t in part.column(1).to_pylist()])]
+                counts = [len(x) for x in ids]
+                # multiplicative hash of the ids to VECTOR cells, counted for all documents of the slice at once
+                cells = (np.concatenate(ids).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
+                rows_ = np.repeat(np.arange(len(ids)), counts)
+                vectors = np.bincount(rows_ * VECTOR + cells, minlength=len(ids) * VECTOR).reshape(-1, VECTOR).astype(np.float32)
+                packed = [pack.compress(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(vectors)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], schema=target)
 
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n"), F.lit(1 << SALT_BITS))

@@ -49,10 +49,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[inner] = solid[inner]
     ends[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n)
+    return span_hashes(data, start, end), np.searchsorted(start, offsets)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans start to end, which don't depend on where the spans lie."""
+    power, inverse = _powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power, dtype=np.uint64)])
-    hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _MIX2)
-    return hashes, np.searchsorted(start, offsets)
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _MIX2)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
