@@ -113,7 +113,7 @@ def spl4(spark, sf):
     return split.cluster_split(docs(spark, sf).select("id", F.col("source").alias("cluster_id")))
 
 
-@query("SPL-13")
+@query("SPL-13", f"WITH {SRC}, h AS (SELECT cluster_id, (row_number() OVER (ORDER BY size DESC, cluster_id) - 1) % 5 AS home FROM z), g AS (SELECT doc_id AS id, home, unnest(range(0, 5))::INTEGER AS fold FROM documents JOIN h ON source = cluster_id) SELECT fold, id, CASE WHEN home = fold THEN 'test' ELSE 'train' END AS split FROM g")
 def spl13(spark, sf):
     return split.cluster_folds(docs(spark, sf).select("id", F.col("source").alias("cluster_id")), 5)
 

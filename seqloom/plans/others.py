@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from seqloom import api
 from seqloom.core import shared_dir
 from seqloom.functions import molecules
-from seqloom.operators import metrics, models, split
+from seqloom.operators import cluster, kmers, metrics, models, split
 from seqloom.plans.base import NAMES, RESIDUES, names, query, residues, table, vectors
+from seqloom.plans.mining import CC
 from seqloom.sources import readers
 from seqloom.streaming import incremental
 
@@ -281,3 +283,54 @@ def src11(spark, sf):
     path = _place(spark, "csv")
     table(spark, sf, "part").select("p_partkey", "p_type").write.csv(path, header=True)
     return spark.read.csv(path, header=True).select(F.col("p_type").alias("sequence")).dropna().distinct()
+
+
+# factories by name
+
+@query("CLU-1", f"{CC} SELECT * FROM cl")
+def clu1(spark, sf):
+    return api.cluster_sequences(names(spark, sf), "similarity", identity=0.7)
+
+
+@query("API-1", f"WITH {NAMES}, k AS (SELECT id, unnest(list_transform(range(1, length(sequence)), lambda i: substr(sequence, i, 2))) AS kmer FROM s) SELECT kmer, count(*) AS occurrence, count(DISTINCT id) AS count, count(DISTINCT id)::DOUBLE / (SELECT count(*) FROM s WHERE length(sequence) >= 2) AS freq_ratio FROM k GROUP BY kmer ORDER BY count DESC, kmer LIMIT 10")
+def api1(spark, sf):
+    return kmers.top_kmers(kmers.kmer_stats(names(spark, sf), 2), 10)
+
+
+@query("API-5", "SELECT unnest(['cosine_kmer', 'dice_kmer', 'embedding_cosine', 'embedding_dot', 'embedding_euclidean', 'hamming', 'jaccard_3mer', 'jaccard_kmer', 'jaro_winkler', 'lcs', 'levenshtein', 'nw_affine', 'nw_blosum62', 'nw_linear', 'sliding_window', 'smith_waterman']) AS method")
+def api5(spark, sf):
+    from seqloom.functions.similarity import METHODS
+
+    return spark.createDataFrame([(m,) for m in METHODS], "method string")
+
+
+@query("API-8", "SELECT unnest(['greedy', 'greedy_first', 'kmer', 'motif', 'similarity']) AS method")
+def api8(spark, sf):
+    return spark.createDataFrame([(m,) for m in api.CLUSTERERS], "method string")
+
+
+@query("API-9", f"{CC} SELECT cluster_id, list(id ORDER BY id) AS ids FROM cl GROUP BY cluster_id")
+def api9(spark, sf):
+    return cluster.as_map(api.cluster_sequences(names(spark, sf), threshold=0.7))
+
+
+@query("API-12", f"WITH {NAMES}, r AS (SELECT label, row_number() OVER (ORDER BY md5(concat_ws(':', 42, id)), id) AS rk, count(*) OVER () AS n FROM s), p AS (SELECT label, CASE WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rk <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM r) SELECT split, count(*) AS n, count(CASE WHEN label = 1 THEN 1 END) AS pos, count(CASE WHEN label = 0 THEN 1 END) AS neg, count(CASE WHEN label = 1 THEN 1 END)::DOUBLE / count(*) AS pos_ratio FROM p GROUP BY split")
+def api12(spark, sf):
+    n = names(spark, sf)
+    return split.class_distribution(n.join(api.split_sequences(n), "id"))
+
+
+@query("API-14", f"WITH {NAMES}, r AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', 42, id)), id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM s) SELECT id, CASE WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rk <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM r")
+def api14(spark, sf):
+    return api.split_sequences(names(spark, sf), "stratified")
+
+
+@query("STR-19", "SELECT unnest(['Biln2Fasta', 'Biln2Helm', 'Fasta2Biln', 'Fasta2Helm', 'Helm2Biln', 'Helm2Fasta']) AS conversion")
+def str19(spark, sf):
+    """The conversions there are; those with SMILES raise NotImplementedError."""
+    return spark.createDataFrame([(c,) for c in molecules.CONVERSIONS], "conversion string")
+
+
+@query("INF-1", "SELECT doc_id AS id, md5(concat_ws(':', 7, doc_id)) AS place FROM documents")
+def inf1(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), split.hash_order(7, "doc_id").alias("place"))
