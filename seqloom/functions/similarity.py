@@ -242,7 +242,13 @@ METHODS = {
 }
 
 
+#: For pairs whose rows were prepared; see operators.pairs.
+PREPARED = {"unit_cosine": lambda a, b: (dot(a, b) + 1) / 2}
+
+
 def similarity(method: str, a: Column, b: Column) -> Column:
+    if method in PREPARED:
+        return PREPARED[method](a, b)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
     return METHODS[method](a, b)

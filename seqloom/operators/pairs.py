@@ -12,10 +12,21 @@ from seqloom.functions import similarity as S
 from seqloom.functions import text
 
 
+def _prepared(rows: DataFrame, method: str, column: str) -> tuple[DataFrame, str]:
+    """Rows with what a method needs of each row alone done once, and the method left for pairs: vectors under the
+    cosine are brought to length 1 (zero vectors stay), so that a pair costs one product instead of three."""
+    if method != "embedding_cosine":
+        return rows, method
+    n = F.col("_norm")
+    unit = F.transform(column, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return rows.withColumn("_norm", S.norm(F.col(column))).withColumn(column, unit), "unit_cosine"
+
+
 def matrix(a: DataFrame, b: DataFrame | None = None, method: str = "levenshtein", column: str = "sequence") -> DataFrame:
     """Every pair's similarity; with one input, each unordered pair is scored once and mirrored, the diagonal is 1."""
-    one = a.select(F.col("id").alias("i"), F.col(column).alias("x"))
     if b is not None:
+        (a, _), (b, method) = _prepared(a, method, column), _prepared(b, method, column)
+        one = a.select(F.col("id").alias("i"), F.col(column).alias("x"))
         two = b.select(F.col("id").alias("j"), F.col(column).alias("y"))
         return one.crossJoin(two).select("i", "j", S.similarity(method, F.col("x"), F.col("y")).alias("sim"))
     half = upper_triangle(a, method, column)
@@ -23,6 +34,7 @@ def matrix(a: DataFrame, b: DataFrame | None = None, method: str = "levenshtein"
 
 
 def upper_triangle(a: DataFrame, method: str = "levenshtein", column: str = "sequence") -> DataFrame:
+    a, method = _prepared(a, method, column)
     one = a.select(F.col("id").alias("i"), F.col(column).alias("x"))
     two = a.select(F.col("id").alias("j"), F.col(column).alias("y"))
     return one.join(two, F.col("i") < F.col("j")).select("i", "j", S.similarity(method, F.col("x"), F.col("y")).alias("sim"))
