@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.operators import distribution as D
 from seqloom.operators import pairs
@@ -103,7 +106,7 @@ def _densities(train: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Rows of either side that a density or a coupling is fitted on, by hash order; more make little difference to it.
+#: Rows of either side that a density is fitted on, by hash order; more make little difference to it.
 FIT_ROWS = 5_000
 
 
@@ -159,32 +162,59 @@ def nearest_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PRO
 
 
 def _in_one_task(pool: DataFrame, positives: DataFrame, n: int, properties, seed: int, choose: Callable) -> DataFrame:
-    """Sequential samplers: choose(pool z, positives z, n) -> rows. Both sides are cut to FIT_ROWS, at least n, by hash."""
-    zp, zq = _scaled(pool, positives, properties)
-    kind = pool.schema["id"].dataType.simpleString()
-    some = zp.orderBy(hash_order(seed, "id"), "id").limit(max(FIT_ROWS, n)).withColumn("side", F.lit(0)).unionByName(zq.orderBy(hash_order(seed, "id"), "id").limit(FIT_ROWS).withColumn("side", F.lit(1)))
+    """Sequential samplers: choose(pool z, positives z, n) -> rows, over all rows of both sides in one task.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (rows[rows.side == s].sort_values("id") for s in (0, 1))
+    The task holds ids and z of all rows; what is wider than that, choose makes in blocks.
+    """
+    zp, zq = _scaled(pool, positives, properties)
+    columns = [F.col("z")[i].alias(f"z{i}") for i in range(len(properties))]
+    rows = zp.select("id", F.lit(0).alias("side"), *columns).unionByName(zq.select("id", F.lit(1).alias("side"), *columns))
+
+    def run(batches):
+        ids, sides, zs = [], [], []
+        for batch in batches:
+            ids.append(batch.column(0))
+            sides.append(batch.column(1).to_numpy())
+            zs.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]))
+        if not ids:
+            return
+        every, side, z = pa.chunked_array(ids), np.concatenate(sides), np.concatenate(zs)
+        order = pc.sort_indices(every).to_numpy()
+        a, b = order[side[order] == 0], order[side[order] == 1]
         if not len(a) or not len(b):
-            return a[["id"]].iloc[:0]
-        at = choose(np.stack(a.z.to_numpy()).astype(float), np.stack(b.z.to_numpy()).astype(float), min(n, len(a)))
-        return a[["id"]].iloc[at]
+            return
+        at = np.asarray(choose(z[a], z[b], min(n, len(a))), dtype=int)
+        yield from pa.table({"id": every.take(pa.array(a[at]))}).to_batches()
+
+    return rows.repartition(1).mapInArrow(run, T.StructType([pool.schema["id"]]))
+
+
+#: Bytes of features or of a kernel that a task keeps; if there are more, they are made again each round, block by block.
+KEPT_BYTES = 256 << 20
+BLOCK_BYTES = 32 << 20
 
-    return some.groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: run(rows), f"id {kind}")
 
+def _blocks(rows: int, row_bytes: int) -> list[slice]:
+    size = max(1, BLOCK_BYTES // max(1, row_bytes))
+    return [slice(i, min(i + size, rows)) for i in range(0, rows, size)]
 
-def herd(x: np.ndarray, y: np.ndarray, n: int, features: int = 512, seed: int = 0) -> list[int]:
-    """Kernel herding on random Fourier features: greedily keep the sample's mean at the positives'."""
+
+def herd(x: np.ndarray, y: np.ndarray, n: int, features: int = 512, seed: int = 0, kept: int = KEPT_BYTES) -> list[int]:
+    """Kernel herding on random Fourier features: greedily keep the sample's mean at the positives'. All of y make the
+    mean, and every row of x is a candidate in every round."""
     rng = np.random.default_rng(seed)
     w, b = rng.standard_normal((x.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
-    fx, goal = np.cos(x @ w + b), np.cos(y @ w + b).mean(axis=0)
-    free, total, out = np.ones(len(x), bool), np.zeros(features), []
+    goal = sum(np.cos(y[s] @ w + b).sum(axis=0) for s in _blocks(len(y), 8 * features)) / len(y)
+    parts = _blocks(len(x), 8 * features)
+    held = [np.cos(x[s] @ w + b) for s in parts] if 8 * features * len(x) <= kept else None
+    part = lambda i: held[i] if held else np.cos(x[parts[i]] @ w + b)
+    wanted, got, free, out = np.concatenate([part(i) @ goal for i in range(len(parts))]), np.zeros(len(x)), np.ones(len(x), bool), []
     for t in range(n):
-        score = np.where(free, fx @ ((t + 1) * goal - total), -np.inf)
-        k = int(np.argmax(score))
+        k = int(np.argmax(np.where(free, (t + 1) * wanted - got, -np.inf)))
         out.append(k)
-        free[k], total = False, total + fx[k]
+        free[k], added = False, np.cos(x[k] @ w + b)
+        for i, s in enumerate(parts):
+            got[s] += part(i) @ added
     return out
 
 
@@ -192,20 +222,55 @@ def mmd_sample(pool, positives, n, properties=PROPERTIES, seed=42):
     return _in_one_task(pool, positives, n, properties, seed, herd)
 
 
-def sinkhorn_mass(x: np.ndarray, y: np.ndarray, rounds: int = 500) -> np.ndarray:
-    cost = ((x[:, None] - y[None]) ** 2).sum(-1)
-    kernel = np.exp(-cost / max(0.05 * np.median(cost), 1e-9)) + 1e-300
+def _cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        out += np.subtract.outer(x[:, j], y[:, j]) ** 2
+    return out
+
+
+def _median_cost(x: np.ndarray, y: np.ndarray, parts: list[slice], kept: int) -> float:
+    """The median of all costs; if they aren't kept, from counts in ever narrower cells, to 1e-10 of their range."""
+    if 8 * len(x) * len(y) <= kept:
+        return float(np.median(_cost(x, y).ravel(), overwrite_input=True))
+    lo, hi = np.inf, -np.inf
+    for s in parts:
+        c = _cost(x[s], y)
+        lo, hi = min(lo, c.min()), max(hi, c.max())
+    rank, cells = len(x) * len(y) // 2, 4096
+    for _ in range(3):
+        if hi <= lo:
+            break
+        below, counts, edges = 0, np.zeros(cells, np.int64), np.linspace(lo, hi, cells + 1)
+        for s in parts:
+            c = _cost(x[s], y)
+            below += int((c < lo).sum())
+            counts += np.histogram(c, edges)[0]
+        k = min(int(np.searchsorted(below + np.cumsum(counts), rank, "right")), cells - 1)
+        lo, hi = edges[k], edges[k + 1]
+    return float(lo + hi) / 2
+
+
+def sinkhorn_mass(x: np.ndarray, y: np.ndarray, rounds: int = 500, kept: int = KEPT_BYTES) -> np.ndarray:
+    """How cheaply each row's mass travels, in a coupling of all of x with all of y."""
+    parts = _blocks(len(x), 8 * len(y))
+    scale = max(0.05 * _median_cost(x, y, parts, kept), 1e-9)
+    make = lambda s: np.exp(-_cost(x[s], y) / scale) + 1e-300
+    held = [make(s) for s in parts] if 8 * len(x) * len(y) <= kept else None
     u, v = np.ones(len(x)) / len(x), np.ones(len(y)) / len(y)
-    a, b = np.ones(len(x)) / len(x), np.ones(len(y)) / len(y)
     for _ in range(rounds):
-        u, v = a / (kernel @ v), b / (kernel.T @ u)
-    # how cheaply a row's mass travels
-    return -((u[:, None] * kernel * v) * cost).sum(axis=1)
+        back = np.zeros(len(y))
+        for i, s in enumerate(parts):
+            kernel = held[i] if held else make(s)
+            u[s] = 1 / len(x) / (kernel @ v)
+            back += u[s] @ kernel
+        v = 1 / len(y) / back
+    return np.concatenate([-((u[s, None] * (held[i] if held else make(s)) * v) * _cost(x[s], y)).sum(axis=1) for i, s in enumerate(parts)])
 
 
 def transport_sample(pool, positives, n, properties=PROPERTIES, seed=42):
     def choose(x, y, n):
-        return list(np.argsort(-sinkhorn_mass(x, y[:1000], 200), kind="stable")[:n])
+        return list(np.argsort(-sinkhorn_mass(x, y, 200), kind="stable")[:n])
 
     return _in_one_task(pool, positives, n, properties, seed, choose)
 
