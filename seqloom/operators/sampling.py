@@ -99,31 +99,68 @@ def _scaled(pool: DataFrame, positives: DataFrame, properties) -> tuple[DataFram
 def _densities(train: np.ndarray, at: np.ndarray) -> np.ndarray:
     n, d = train.shape
     h = max((n * (d + 2) / 4) ** (-1 / (d + 4)), 1e-6)
-    out = np.empty(len(at))
+    out = np.zeros(len(at))
     for i in range(0, len(at), 2048):
-        q = ((at[i : i + 2048, None, :] - train[None]) ** 2).sum(-1)
-        out[i : i + 2048] = np.exp(-q / (2 * h * h)).mean(axis=1)
-    return out
+        for j in range(0, n, 2048):
+            q = ((at[i : i + 2048, None, :] - train[None, j : j + 2048]) ** 2).sum(-1)
+            out[i : i + 2048] += np.exp(-q / (2 * h * h)).sum(axis=1)
+    return out / n
+
+
+#: Up to so many rows of either side, densities are sums over pairs; beyond, products of mean random features of all rows.
+EXACT_ROWS = 20_000
+
 
+def _array(z: DataFrame) -> np.ndarray:
+    rows = z.toPandas()
+    return np.stack(rows.z.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
 
-#: Rows of either side that a density is fitted on, by hash order; more make little difference to it.
-FIT_ROWS = 5_000
 
+def _mean_features(z: DataFrame, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The mean of cos(z w + b) over all rows; one row of sums a task reaches the driver."""
 
-def _fit_rows(z: DataFrame, seed: int) -> np.ndarray:
-    rows = z.orderBy(hash_order(seed, "id"), "id").limit(FIT_ROWS).toPandas()
-    return np.stack(rows.z.to_numpy()) if len(rows) else np.zeros((0, 1))
+    def sums(batches):
+        total, n = np.zeros(len(b)), 0
+        for rows in batches:
+            for i in range(0, len(rows), 4096):
+                x = np.stack(rows.z.iloc[i : i + 4096].to_numpy()).astype(float)
+                total, n = total + np.cos(x @ w + b).sum(axis=0), n + len(x)
+        yield pd.DataFrame({"total": [total.tolist()], "n": [n]})
 
+    parts = z.select("z").mapInPandas(sums, "total array<double>, n long").collect()
+    return np.sum([p.total for p in parts], axis=0) / sum(p.n for p in parts)
 
-def kde_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42, clip: float = 50.0) -> DataFrame:
-    """Weights are ratios of Gaussian kernel densities, positives over pool, fitted on FIT_ROWS rows of each."""
+
+def kde_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42, clip: float = 50.0, features: int = 1024) -> DataFrame:
+    """Weights are ratios of Gaussian kernel densities, positives over pool, from all rows of each.
+
+    Up to EXACT_ROWS rows a side the kernels of all pairs are added up, at Silverman's bandwidth. Beyond, random Fourier
+    features stand for the kernel at the root mean square distance between rows; a density under the features' noise
+    counts as that noise.
+    """
     zp, zq = _scaled(pool, positives, properties)
-    p, q = _fit_rows(zq, seed), _fit_rows(zp, seed)
+    n_pool, n_pos = zp.count(), zq.count()
+    if not n_pool or not n_pos:
+        return zp.select("id").limit(0)
+    if max(n_pool, n_pos) <= EXACT_ROWS:
+        p, q = _array(zq), _array(zp)
+
+        def ratio(at):
+            return _densities(p, at) / (_densities(q, at) + 1e-12)
+    else:
+        rng = np.random.default_rng(seed)
+        # z has variance 1 on each of d axes, so that squared distances are 2 d on average
+        w = rng.standard_normal((len(properties), features)) / np.sqrt(len(properties))
+        b = rng.uniform(0, 2 * np.pi, features)
+        p, q, noise = _mean_features(zq, w, b), _mean_features(zp, w, b), (2 * features) ** -0.5
+
+        def ratio(at):
+            phi = np.cos(at @ w + b)
+            return np.maximum(phi @ p * 2 / features, noise) / np.maximum(phi @ q * 2 / features, noise)
 
     @F.pandas_udf("double")
     def weight(z: pd.Series) -> pd.Series:
-        at = np.stack(z.to_numpy()).astype(float)
-        return pd.Series(np.clip(_densities(p, at) / (_densities(q, at) + 1e-12), 1e-9, clip))
+        return pd.Series(np.clip(ratio(np.stack(z.to_numpy()).astype(float)), 1e-9, clip))
 
     return weighted_sample(zp.select("id", weight("z").alias("w")), "w", n, seed)
 

@@ -33,3 +33,25 @@ def test_blocks_made_again_give_the_same(monkeypatch):
     monkeypatch.setattr(sampling, "BLOCK_BYTES", 50_000)
     assert sampling.herd(x, y, 40, kept=0) == herded
     assert np.allclose(sampling.sinkhorn_mass(x, y, 50, kept=0), mass, rtol=1e-4, atol=1e-12)
+
+
+@pytest.mark.parametrize("exact", [20_000, 0])
+def test_densities_count_all_rows(spark, monkeypatch, exact):
+    """A mode of 6 among 12,000 positives, where the pool has 20 rows of 6,000: its weight is the ratio of all rows'."""
+    monkeypatch.setattr(sampling, "EXACT_ROWS", exact)
+    seen = {}
+    monkeypatch.setattr(sampling, "weighted_sample", lambda rows, w, n, seed: seen.setdefault("w", rows))
+    pos = spark.range(12_000).select("id", F.when(F.col("id") % 2000 == 7, 10.0).otherwise(0.0).alias("length"))
+    pool = spark.range(6_000).select("id", F.when(F.col("id") % 300 == 7, 10.0).otherwise(0.0).alias("length"))
+    sampling.kde_sample(pool, pos, 5, ("length",))
+    w = {r.far: r.w for r in seen["w"].groupBy((F.col("id") % 300 == 7).alias("far")).agg(F.avg("w").alias("w")).collect()}
+    assert w[False] == pytest.approx((11_994 / 12_000) / (5_980 / 6_000), rel=0.2)
+    if exact:
+        assert w[True] == pytest.approx((6 / 12_000) / (20 / 6_000), rel=1e-3)
+
+
+def test_random_features_average_all_rows(spark):
+    z = spark.range(12_001).select(F.array((F.col("id") / 12_001).cast("double")).alias("z"))
+    w, b = np.array([[1.0, 2.0]]), np.array([0.0, 0.5])
+    want = np.cos((np.arange(12_001) / 12_001)[:, None] @ w + b).mean(axis=0)
+    assert np.allclose(sampling._mean_features(z, w, b), want)
