@@ -5,6 +5,7 @@ Chance is a hash of (seed, id). Samplers return the chosen pool rows' ids.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -174,26 +175,59 @@ def moment_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROP
     return weighted_sample(rows.withColumn("w", F.col("w") + 1e-6), "w", n, seed)
 
 
-def nearest_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """One pool row per positive, nearest first: in rounds, pairs that choose each other are taken and leave."""
+def _points(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct finite rows in order of first appearance; rows by point; where each point's begin, and their number."""
+    rows = np.flatnonzero(np.isfinite(z).all(axis=1))
+    _, first, which = np.unique(z[rows], axis=0, return_index=True, return_inverse=True)
+    which = np.argsort(np.argsort(first))[which.ravel()]
+    counts = np.bincount(which, minlength=len(first))
+    return z[rows][np.sort(first)], rows[np.argsort(which, kind="stable")], np.cumsum(counts) - counts, counts
+
+
+def match(x: np.ndarray, y: np.ndarray, n: int) -> list[int]:
+    """Rows of x, one for a row of y: always the nearest pair left, ties to the first point of x, then of y, until n are
+    matched or a side is used up. Rows of equal values are matched in one step."""
+    (px, rows, at, left), (py, _, _, need) = _points(x), _points(y)
+    if not len(px) or not len(py):
+        return []
+    heap: list[tuple[float, int, int]] = []
+    for s in _blocks(len(py), 8 * len(px)):
+        c = _cost(py[s], px)
+        j = c.argmin(axis=1)
+        heap.extend(zip(c[np.arange(len(j)), j].tolist(), j.tolist(), range(s.start, s.stop)))
+    heapq.heapify(heap)
+    nearest: dict[int, list[tuple[float, int]]] = {}  # of points of y that had to look on: the next ones, last first
+    width, out = {}, []
+    while heap and len(out) < n:
+        _, j, i = heap[0]
+        if left[j]:
+            k = min(int(left[j]), int(need[i]), n - len(out))
+            out.extend(rows[at[j] : at[j] + k].tolist())
+            at[j], left[j], need[i] = at[j] + k, left[j] - k, need[i] - k
+        if not need[i]:
+            heapq.heappop(heap)
+            nearest.pop(i, None)
+            continue
+        some = nearest.setdefault(i, [])
+        while some and not left[some[-1][1]]:
+            some.pop()
+        if not some:
+            live = np.flatnonzero(left)
+            if not len(live):
+                break
+            width[i] = w = min(2 * width.get(i, 4), len(live))
+            c = _cost(py[i : i + 1], px[live])[0]
+            near = np.flatnonzero(c <= np.partition(c, w - 1)[w - 1])
+            some.extend(sorted(zip(c[near].tolist(), live[near].tolist()), reverse=True))
+        heapq.heapreplace(heap, (*some[-1], i))
+    return out
+
+
+def nearest_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42) -> DataFrame:
+    """One pool row per positive, nearest pairs first, until n are matched or a side is used up; the rest at random."""
     from seqloom.core import cut
 
-    zp, zq = _scaled(pool, positives, properties)
-    d = F.sqrt(F.aggregate(F.zip_with("z", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    grid = cut(zp.select(F.col("id").alias("i"), "z").crossJoin(F.broadcast(zq.select(F.col("id").alias("j"), F.col("z").alias("y")))).select("i", "j", d.alias("d")))
-    taken = None
-    for _ in range(rounds):
-        if taken is not None:
-            if taken.count() >= n:
-                break
-            grid = cut(grid.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"))
-        mine = grid.groupBy("i").agg(F.min_by("j", F.struct("d", "j")).alias("j"))
-        theirs = grid.groupBy("j").agg(F.min_by("i", F.struct("d", "i")).alias("i"))
-        got = mine.join(theirs, ["i", "j"]).join(grid, ["i", "j"]).select("i", "j", "d")
-        if got.isEmpty():
-            break
-        taken = cut(got if taken is None else taken.unionByName(got))
-    near = taken.orderBy("d", "i").limit(n).select(F.col("i").alias("id"))
+    near = cut(_in_one_task(pool, positives, n, properties, seed, match))
     rest = random_sample(pool.select("id").join(near, "id", "left_anti"), n, seed)
     return _first(near.withColumn("p", F.lit(0)).unionByName(rest.withColumn("p", F.lit(1))), [F.col("p"), hash_order(seed, "id"), F.col("id")], n)
 

@@ -55,3 +55,24 @@ def test_random_features_average_all_rows(spark):
     w, b = np.array([[1.0, 2.0]]), np.array([0.0, 0.5])
     want = np.cos((np.arange(12_001) / 12_001)[:, None] @ w + b).mean(axis=0)
     assert np.allclose(sampling._mean_features(z, w, b), want)
+
+
+def test_equal_rows_are_all_matched(spark):
+    pool = rows(spark, [50.0] * 2000 + [1.0] * 200)
+    got = sampling.nearest_sample(pool, rows(spark, [1.0] * 200, 5000), 200, ("length",))
+    assert sorted(r.id for r in got.collect()) == list(range(2000, 2200))
+
+
+def test_matches_are_the_nearest_pairs():
+    rng = np.random.default_rng(5)
+    for spread in (3, 1000):
+        x, y = rng.integers(0, spread, (60, 2)).astype(float), rng.integers(0, spread, (80, 2)).astype(float) + 0.25
+        d = ((x[:, None] - y[None]) ** 2).sum(-1)
+        free_x, free_y, total = set(range(60)), set(range(80)), []
+        for i, j in sorted(np.ndindex(60, 80), key=lambda p: d[p]):
+            if i in free_x and j in free_y:
+                free_x.remove(i), free_y.remove(j), total.append(i)
+        got = sampling.match(x, y, 100)
+        assert len(got) == len(set(got)) == 60
+        if spread == 1000:
+            assert got == total and sampling.match(x, y, 25) == total[:25]
