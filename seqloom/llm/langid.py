@@ -25,6 +25,8 @@ from seqloom.llm.shingles import text_slices
 
 #: Labelled rows the text model is fitted on, about; if there are more, those with small hashes of id and length.
 SAMPLE_ROWS = 4_000
+#: Rows that each language has in the sample at least, about, or all its rows if they are fewer; beside SAMPLE_ROWS.
+LANGUAGE_ROWS = 50
 CELLS = 1 << 15
 ACCEPTED = ("de", "en", "es", "fr")
 #: Log-odds a declaration or a suffix adds to the language it names.
@@ -66,11 +68,20 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of cells, from about sample_rows rows of labelled (doc_id, text, lang)."""
+    """Languages and their log probabilities of cells. labelled: doc_id, text, lang.
+
+    The languages are those of all rows. Their texts are sampled, about sample_rows of all, but about LANGUAGE_ROWS of
+    each language if it has so many.
+    """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != ""))
-    n, space = rows.count(), 1 << 40
+    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    langs, n, space = sorted(by_lang), sum(by_lang.values()), 1 << 40
     if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(space)) < int(space * sample_rows / n))
+        # languages whose share of the sample is too small get a rate of their own
+        under = [(x, int(space * min(1.0, LANGUAGE_ROWS / c))) for x, c in by_lang.items() if c * sample_rows < LANGUAGE_ROWS * n]
+        rates = F.broadcast(labelled.sparkSession.createDataFrame(under, "lang string, own long"))
+        least = F.coalesce("own", F.lit(int(space * sample_rows / n)))
+        rows = rows.join(rates, "lang", "left").where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(space)) < least)
     sample = rows.select("text", "lang")
 
     def count(batches):
@@ -88,10 +99,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     total: dict[str, np.ndarray] = {}
     for r in sample.repartition(4).mapInArrow(released(count), "lang string, counts binary").toLocalIterator():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    langs = sorted(total)
     if not langs:
         return [], np.zeros((0, CELLS))
-    n = np.stack([total[x] for x in langs]).astype(float) + 0.5
+    n = np.stack([total.get(x, np.zeros(CELLS, np.int64)) for x in langs]).astype(float) + 0.5
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
 
 
