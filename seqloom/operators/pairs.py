@@ -5,6 +5,8 @@ A matrix is a long table (i, j, sim). Inputs have id and a compared column (sequ
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +71,13 @@ def levenshtein_join(a: DataFrame, b: DataFrame, threshold: float, k: int = 2) -
     in_band = F.least("n", "m") >= F.lit(threshold) * longest - 1e-9
     must_share = longest - k + 1 - k * edits >= 1
     on_kmers = kmer_candidates(a, b, k).select("i", "j").join(x, "i").join(y, "j").where(in_band & must_share)
-    # lengths of pairs without a guaranteed common k-mer are bounded by the threshold; they meet on equal-length bands
-    top = 1
-    while top < 10_000 and top - k + 1 - k * int((1 - threshold) * top + 1e-9) < 1:
-        top += 1
-    unsafe = [n for n in range(0, 4 * top + 4 * k) if n - k + 1 - k * int((1 - threshold) * n + 1e-9) < 1] if threshold > 1 - 1 / k else None
-    if unsafe is None:  # the bound never holds: all pairs in the length band
+    # a length n without a guaranteed common k-mer has n * (1 - k * (1 - threshold)) < k; such pairs meet on length
+    safe = 1 - k * (1 - threshold)
+    short = math.ceil(k * (1 + 1e-9) / safe) if safe > 1e-9 else None
+    if short is None:  # the bound never holds: all pairs in the length band
         others = x.join(y, in_band)
     else:
         reach = F.explode(F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int")))
-        short = max(unsafe)
         others = x.where(F.col("n") <= short).withColumn("m", reach).join(y.where(F.col("m") <= short), "m").where(in_band & ~must_share)
     rows = on_kmers.unionByName(others.select(on_kmers.columns))
     return rows.select("i", "j", S.levenshtein(F.col("x"), F.col("y")).alias("sim")).where(F.col("sim") >= threshold - 1e-12)
