@@ -28,26 +28,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, *UNESCAPE)
 
 
-def reply_paths(nodes: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20) -> DataFrame:
+def reply_paths(nodes: DataFrame, per_tree: int = 1, max_depth: int | None = None) -> DataFrame:
     """(tree, leaf, branch_rank, depth, node) for the `per_tree` best root-to-leaf paths of each tree.
 
     nodes: tree, node, parent (null at a root), score (null: 0). A leaf is a node without replies. Jump tables of
     doubling length are joined with the paths found so far, so depth d takes log2(d) rounds and every (leaf, ancestor)
     pair arises once; only identifiers travel. Branches rank by mean score of their nodes, best first, ties to the
-    smaller leaf. A parent that isn't there makes its child a root; a cycle has no leaf and so no path.
+    smaller leaf. A parent that isn't there makes its child a root; a cycle has no leaf and so no path. A path is at most
+    as long as its tree has nodes, which bounds the rounds; one that is longer than a max_depth given is an error.
     """
     nodes = cut(nodes.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
     known = nodes.select("tree", F.col("node").alias("parent"))
     jump = cut(nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")))
     replied = jump.select("tree", F.col("to").alias("node")).distinct()
     paths = nodes.join(replied, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    step = 1
-    while step < max_depth and not jump.isEmpty():
+    step, largest = 1, nodes.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    while step < largest and not jump.isEmpty():
         more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
         paths = cut(paths.unionByName(more))
         on = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("far"))
         jump = cut(jump.join(on, ["tree", "to"]).select("tree", "node", F.col("far").alias("to")))
         step *= 2
+    if max_depth is not None and not paths.where(F.col("up") > max_depth).isEmpty():
+        raise ValueError(f"a path is longer than {max_depth} replies")
     scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     best = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("top"))
     order = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), "leaf")

@@ -1,8 +1,19 @@
 """Training-data operators cover all rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid
+from seqloom.llm import chat, langid
+
+
+def test_long_paths_are_whole_or_an_error(spark):
+    nodes = spark.range(1, 21).select(F.lit("t").alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"))
+    got = chat.reply_paths(nodes)
+    assert sorted((r.depth, r.node) for r in got.collect()) == [(i, i + 1) for i in range(20)]
+    with pytest.raises(ValueError):
+        chat.reply_paths(nodes, max_depth=4)
+    cycle = spark.createDataFrame([("c", 1, 2, 0.0), ("c", 2, 1, 0.0), ("c", 3, None, 0.0)], "tree string, node long, parent long, score double")
+    assert [r.node for r in chat.reply_paths(cycle).collect()] == [3]
 
 
 def test_rare_languages_keep_their_name(spark):
