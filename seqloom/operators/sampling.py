@@ -77,17 +77,26 @@ def bin_of(x: Column, edges: list[float]) -> Column:
     return F.when(inside, below)
 
 
-def bin_sample(pool: DataFrame, positives: DataFrame, column: str, n: int, bins: int = 10, seed: int = 42) -> DataFrame:
-    """Quotas per quantile bin of the positives, in proportion; then any others up to n."""
-    qs = positives.agg(F.percentile(column, [i / bins for i in range(bins + 1)]).alias("q"), F.count("*").alias("n")).first()
-    edges = sorted(set(qs.q))
-    edges[0] -= 1e-9 * max(1.0, abs(edges[0]))
-    if len(edges) < 2:
+def _quantiles(positives: DataFrame, columns: list[str], bins: int) -> tuple[dict[str, list[float]], int]:
+    """Distinct quantiles of the positives per column, and their number of rows."""
+    at = [i / bins for i in range(bins + 1)]
+    qs = positives.agg(*[F.percentile(c, at).alias(f"q{i}") for i, c in enumerate(columns)], F.count("*").alias("n")).first()
+    return {c: sorted(set(qs[f"q{i}"] or ())) for i, c in enumerate(columns)}, qs.n
+
+
+def bin_sample(pool: DataFrame, positives: DataFrame, column: str | list[str], n: int, bins: int = 10, seed: int = 42) -> DataFrame:
+    """Quotas per quantile bin of the positives, in proportion; then any others up to n. With several columns a bin is
+    one of each; a column of one value has no bins."""
+    found, n_pos = _quantiles(positives, [column] if isinstance(column, str) else list(column), bins)
+    edges = {c: [q[0] - 1e-9 * max(1.0, abs(q[0])), *q[1:]] for c, q in found.items() if len(q) > 1}
+    if not edges:
         return random_sample(pool, n, seed)
-    quota = positives.groupBy(bin_of(F.col(column), edges).alias("bin")).agg(F.floor(F.count("*") * n / qs.n).alias("need"))
+    keys = [f"bin{i}" for i in range(len(edges))]
+    of = [bin_of(F.col(c), e).alias(k) for k, (c, e) in zip(keys, edges.items())]
+    quota = positives.groupBy(*of).agg(F.floor(F.count("*") * n / n_pos).alias("need"))
     order = [hash_order(seed, "id"), F.col("id")]
-    rows = pool.withColumn("bin", bin_of(F.col(column), edges)).join(F.broadcast(quota), "bin", "left")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(*order)))
+    rows = pool.select("id", *of).join(F.broadcast(quota) if len(keys) == 1 else quota, keys, "left")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return _first(ranked, [(~F.coalesce(F.col("r") <= F.col("need"), F.lit(False))), *order], n)
 
 
@@ -415,26 +424,93 @@ def chunk_shuffle(positives: DataFrame, seed: int = 42, chunks: int = 4) -> Data
     return positives.select("id", run("id", "sequence").alias("sequence")).groupBy("sequence").agg(F.min("id").alias("id")).select("id", "sequence")
 
 
-def kmer_balanced_sample(pool: DataFrame, positives: DataFrame, column: str, n: int, k: int = 2, bins: int = 5, seed: int = 42) -> DataFrame:
-    """Quotas per bin of a property; inside a bin, rows are taken whose k-mers the positives have more of."""
-    qs = positives.agg(F.percentile(column, [i / bins for i in range(bins + 1)]).alias("q"), F.count("*").alias("n")).first()
-    edges = sorted(set(qs.q))
-    edges[0] -= 1e-9 * max(1.0, abs(edges[0]))
-    edges = edges if len(edges) > 1 else [edges[0], edges[0] + 1.0]
+def quotas(counts: dict, n: int) -> dict:
+    """n shared out in proportion to counts: rounded, then put right by one where rounding took or gave most."""
+    total = sum(counts.values())
+    out = {k: round(n * c / total) for k, c in counts.items()}
+    over = sum(out.values()) - n
+    for k in sorted(counts, key=lambda k: ((n * counts[k] / total - out[k]) * (1 if over > 0 else -1), k))[: abs(over)]:
+        out[k] -= 1 if over > 0 else -1
+    return out
+
+
+def greedy_fill(gap: np.ndarray, features: Callable, bins: dict[int, np.ndarray], need: dict[int, int]) -> list[int]:
+    """Rows of each bin that fill most of what is left of gap, one after the other, largest quotas first; gap goes down by
+    what a row has. features(row): indices and counts. Gains only fall, so a row is looked at again when it is first."""
+    gap, out = gap.astype(float), []
+
+    def gain(row):
+        at, n = features(row)
+        return -float(n @ gap[at])
+
+    for b in sorted(need, key=lambda b: (-need[b], b)):
+        heap = [(gain(row), row) for row in bins.get(b, ()) if need[b] > 0]
+        heapq.heapify(heap)
+        taken = 0
+        while heap and taken < need[b]:
+            _, row = heapq.heappop(heap)
+            now = (gain(row), row)
+            if heap and now > heap[0]:
+                heapq.heappush(heap, now)
+                continue
+            at, n = features(row)
+            gap[at] = np.maximum(gap[at] - n, 0.0)
+            out.append(row)
+            taken += 1
+    return out
+
+
+def kmer_balanced_sample(pool: DataFrame, positives: DataFrame, column: str | list[str], n: int, k: int = 2, bins: int = 5, seed: int = 42) -> DataFrame:
+    """Quotas per joint bin of the properties; inside a bin, greedily the rows that fill most of the k-mer gap.
+
+    The gap is what n rows like the positives hold of each k-mer, less what the rows taken hold. The bins at the ends
+    are open. Greedy picks run in one task over ids and k-mer counts of all pool rows; then any others up to n.
+    """
     from seqloom.operators.kmers import kmer_stats, per_sequence
 
-    a = kmer_stats(positives, k).select("kmer", F.col("occurrence").alias("a"))
-    b = kmer_stats(pool, k).select("kmer", F.col("occurrence").alias("b"))
-    j = a.join(b, "kmer", "full_outer").na.fill(0)
-    t = j.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    # smoothed by one, so that the gain of an unseen k-mer is finite
-    gain = j.join(F.broadcast(t)).select("kmer", F.log((F.col("a") + 1) / (F.col("ta") + 1) / ((F.col("b") + 1) / (F.col("tb") + 1))).alias("gain"))
-    score = per_sequence(pool, k).join(gain, "kmer").groupBy("id").agg((F.sum(F.col("n") * F.col("gain")) / F.sum("n")).alias("gain"))
-    quota = positives.groupBy(bin_of(F.col(column), edges).alias("bin")).agg(F.round(F.count("*") * n / qs.n).alias("need"))
-    order = [F.col("gain").desc_nulls_last(), hash_order(seed, "id"), F.col("id")]
-    rows = pool.withColumn("bin", bin_of(F.col(column), edges)).join(score, "id", "left").join(F.broadcast(quota), "bin", "left")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(*order)))
-    return _first(ranked, [(~F.coalesce(F.col("r") <= F.col("need"), F.lit(False))), *order], n)
+    columns = [column] if isinstance(column, str) else list(column)
+    found, n_pos = _quantiles(positives, columns, bins)
+    if not n_pos or n <= 0:
+        return random_sample(pool, n, seed)
+    inner = [(q if len(q) > 2 else np.linspace(q[0], q[-1] + 1e-8, bins + 1).tolist())[1:-1] if q else [] for q in found.values()]
+    code = F.lit(0).cast("long")
+    for c, edges in zip(columns, inner):
+        code = code * (bins + 1) + sum(((F.col(c) >= e).cast("long") for e in edges), F.when(F.col(c).isNotNull(), F.lit(0).cast("long")))
+    counts = {r.bin: r.n for r in positives.groupBy(code.alias("bin")).agg(F.count("*").alias("n")).collect() if r.bin is not None}
+    if not counts:
+        return random_sample(pool, n, seed)
+    need = quotas(counts, n)
+
+    stats = kmer_stats(positives, k).select("kmer", F.col("occurrence").alias("a"))
+    stats = stats.withColumn("at", F.row_number().over(Window.orderBy("kmer")) - 1)
+    held = stats.select("at", "a").toPandas().sort_values("at")
+    gap = held.a.to_numpy(float) * n / n_pos
+    has = per_sequence(pool, k).join(stats.select("kmer", "at"), "kmer").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n")))).alias("has"))
+    rows = pool.select("id", hash_order(seed, "id").alias("order"), code.alias("bin")).where("bin IS NOT NULL").join(has, "id", "left")
+    empty = F.array().cast("array<bigint>")
+    rows = rows.select("id", "order", "bin", F.coalesce(F.col("has.at"), empty).alias("at"), F.coalesce(F.col("has.n"), empty).alias("n"))
+    kind = rows.select("id").schema
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        table = table.take(pc.sort_indices(table, [("order", "ascending"), ("id", "ascending")]))
+        sizes = pc.list_value_length(table["at"]).to_numpy()
+        ends = np.cumsum(sizes)
+        at, held = pc.list_flatten(table["at"]).to_numpy(), pc.list_flatten(table["n"]).to_numpy()
+        codes = table["bin"].to_numpy()
+        by_code = np.argsort(codes, kind="stable")
+        names, starts = np.unique(codes[by_code], return_index=True)
+        members = dict(zip(names.tolist(), (x.tolist() for x in np.split(by_code, starts[1:]))))
+        picked = greedy_fill(gap, lambda r: (at[ends[r] - sizes[r] : ends[r]], held[ends[r] - sizes[r] : ends[r]]), members, need)
+        yield from table.select(["id"]).take(pa.array(picked, pa.int64())).to_batches()
+
+    from seqloom.core import cut
+
+    picked = cut(rows.repartition(1).mapInArrow(run, kind))
+    rest = random_sample(pool.select("id").join(picked, "id", "left_anti"), n, seed)
+    return _first(picked.withColumn("p", F.lit(0)).unionByName(rest.withColumn("p", F.lit(1))), [F.col("p"), hash_order(seed, "id"), F.col("id")], n)
 
 
 def swap_for_kmers(chosen: DataFrame, pool: DataFrame, positives: DataFrame, k: int = 2, swaps: int = 10) -> DataFrame:
@@ -469,8 +545,8 @@ for _name, _f in {
     "nn": lambda pool, pos, n, seed=42, properties=PROPERTIES: nearest_sample(pool, pos, n, properties, seed),
     "ot": lambda pool, pos, n, seed=42, properties=PROPERTIES: transport_sample(pool, pos, n, properties, seed),
     "moment": lambda pool, pos, n, seed=42, properties=PROPERTIES: moment_sample(pool, pos, n, properties, seed),
-    "bin": lambda pool, pos, n, seed=42, properties=PROPERTIES: bin_sample(pool, pos, properties[0], n, 10, seed),
-    "hybrid_property_kmer": lambda pool, pos, n, seed=42, properties=PROPERTIES: kmer_balanced_sample(pool, pos, properties[0], n, 2, 5, seed),
+    "bin": lambda pool, pos, n, seed=42, properties=PROPERTIES: bin_sample(pool, pos, list(properties), n, 10, seed),
+    "hybrid_property_kmer": lambda pool, pos, n, seed=42, properties=PROPERTIES: kmer_balanced_sample(pool, pos, list(properties), n, 2, 5, seed),
 }.items():
     register(_name, _f)
 

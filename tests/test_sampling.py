@@ -76,3 +76,27 @@ def test_matches_are_the_nearest_pairs():
         assert len(got) == len(set(got)) == 60
         if spread == 1000:
             assert got == total and sampling.match(x, y, 25) == total[:25]
+
+
+@pytest.mark.parametrize("method", ["bin", "hybrid_property_kmer"])
+def test_bins_are_joint(spark, method):
+    """Positives have length 1 with price 1 and length 9 with price 9; the pool has all four pairs."""
+    pairs = lambda n, kinds, first: spark.createDataFrame([(first + i, f"s{first + i}", *map(float, kinds[i % len(kinds)])) for i in range(n)], "id long, sequence string, length double, price double")
+    pool, pos = pairs(400, [(1, 1), (1, 9), (9, 1), (9, 9)], 0), pairs(100, [(1, 1), (9, 9)], 1000)
+    got = sampling.REGISTRY[method](pool, pos, 100, seed=42, properties=("length", "price")).join(pool, "id")
+    assert {(r.length, r.price): r.n for r in got.groupBy("length", "price").agg(F.count("*").alias("n")).collect()} == {(1.0, 1.0): 50, (9.0, 9.0): 50}
+
+
+def test_quotas_sum_to_n():
+    for n in range(0, 40):
+        for counts in ({"a": 1, "b": 1, "c": 1}, {"a": 5, "b": 5, "c": 90}, {i: 1 for i in range(17)}):
+            got = sampling.quotas(counts, n)
+            assert sum(got.values()) == n and min(got.values()) >= 0
+
+
+def test_gap_falls_as_rows_are_taken(spark):
+    """Positives are half AAA, half CCC: so are the rows taken, though AAA comes first at every single look."""
+    some = lambda first, *kinds: spark.createDataFrame([(first + i, s, 3.0) for i, s in enumerate(kinds)], "id long, sequence string, length double")
+    pool, pos = some(0, *["AAA"] * 30, *["CCC"] * 10), some(100, *["AAA"] * 11, *["CCC"] * 9)
+    got = sampling.kmer_balanced_sample(pool, pos, "length", 20).join(pool, "id")
+    assert {r.sequence: r.n for r in got.groupBy("sequence").agg(F.count("*").alias("n")).collect()} == {"AAA": 11, "CCC": 9}
