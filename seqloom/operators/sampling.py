@@ -175,13 +175,26 @@ def kde_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERT
     return weighted_sample(zp.select("id", weight("z").alias("w")), "w", n, seed)
 
 
-def moment_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42) -> DataFrame:
-    """Weights max(z . mean of the positives' z, 0): rows on the positives' side of the common centre."""
+def moment_sample(pool: DataFrame, positives: DataFrame, n: int, properties=PROPERTIES, seed: int = 42, l2: float = 1e-6) -> DataFrame:
+    """Weights of a ridge solution that takes [z, z^2] to the positives' means and variances, 0 where negative.
+
+    Of the pool's features P the weights are (P P' + l2)^-1 P t = P (P'P + l2)^-1 t: two sums over all rows give them.
+    """
     zp, zq = _scaled(pool, positives, properties)
-    means = zq.agg(F.array(*[F.avg(F.col("z")[i]) for i in range(len(properties))]).alias("t"))
-    dot = F.aggregate(F.zip_with("z", "t", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rows = zp.join(F.broadcast(means)).select("id", F.greatest(dot, F.lit(0.0)).alias("w"))
-    return weighted_sample(rows.withColumn("w", F.col("w") + 1e-6), "w", n, seed)
+    d = len(properties)
+    f = [F.col("z")[i] for i in range(d)] + [F.col("z")[i] * F.col("z")[i] for i in range(d)]
+    cells = [(i, j) for i in range(2 * d) for j in range(i, 2 * d)]
+    sums = zp.agg(F.count("*").alias("n"), *[F.sum(f[i] * f[j]).alias(f"s{i}_{j}") for i, j in cells]).first()
+    target = zq.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(f[:d])], *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(f[:d])]).first()
+    if not sums.n:
+        return zp.select("id")
+    gram = np.zeros((2 * d, 2 * d))
+    for i, j in cells:
+        gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"] or 0.0
+    c = np.linalg.lstsq(gram + l2 * np.eye(2 * d), np.array([x or 0.0 for x in target]), rcond=None)[0]
+    # times the pool's rows, so that weights don't get small against the least one
+    w = sum((x * F.lit(float(a) * sums.n) for x, a in zip(f, c)), F.lit(0.0))
+    return weighted_sample(zp.select("id", (F.greatest(w, F.lit(0.0)) + 1e-6).alias("w")), "w", n, seed)
 
 
 def _points(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

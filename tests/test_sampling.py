@@ -100,3 +100,10 @@ def test_gap_falls_as_rows_are_taken(spark):
     pool, pos = some(0, *["AAA"] * 30, *["CCC"] * 10), some(100, *["AAA"] * 11, *["CCC"] * 9)
     got = sampling.kmer_balanced_sample(pool, pos, "length", 20).join(pool, "id")
     assert {r.sequence: r.n for r in got.groupBy("sequence").agg(F.count("*").alias("n")).collect()} == {"AAA": 11, "CCC": 9}
+
+
+def test_moments_match_the_spread(spark):
+    """Positives and pool have the same mean; the positives are all far from it, the pool mostly at it."""
+    pool = rows(spark, [0.0] * 500 + [-10.0, 10.0] * 100)
+    got = sampling.moment_sample(pool, rows(spark, [-10.0, 10.0] * 50, 5000), 100, ("length",)).join(pool, "id")
+    assert got.count() == 100 and got.where("length = 0").count() == 0
