@@ -14,12 +14,14 @@ always confirmed on the full sets; linked documents form components.
 
 At similarity 0.8, 40 bands of 4 miss a pair with probability (1 - 0.8**4)**40 < 1e-9, and the filter, 6 standard
 deviations below, with about as little. Null and empty texts have no shingles, keep apart, and are components of
-their own; null doc_ids are linked by text like others, and are never the smallest. Rows that repeat stay rows.
+their own; null doc_ids are linked by text like others, and are never the smallest. Rows that repeat stay rows; of
+rows with equal doc_id and text, one is read for all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm.common import cut, join_groups, released, with_columns_of
-from seqloom.llm.shingles import shingle_sets, text_slices
+from seqloom.llm.shingles import Shingles, mix, shingles, text_slices
 from seqloom.operators.graph import connected_components
 
 BANDS, ROWS, BITS = 40, 4, 4
@@ -39,8 +41,10 @@ _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 #: Identifiers up to this many are broadcast (8 bytes each) to pick their documents' texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: Members confirmed against one class in one task.
-SALT_ROWS = 400
+#: Members confirmed against one class in one task, and members of a band compared with all its others in one.
+SALT_ROWS, ACROSS_ROWS = 400, 2_000
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -59,8 +63,6 @@ def signature(best: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(best: np.ndarray) -> np.ndarray:
-    from seqloom.llm.shingles import mix
-
     h = (mix(best.astype(np.uint64).reshape(BANDS, ROWS) + _BAND) * _BAND).sum(axis=1, dtype=np.uint64)
     return mix(h + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
@@ -84,11 +86,19 @@ def estimate_floor(threshold: float) -> float:
     return threshold - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
 
-_SKETCH = "doc_id long, n_shingles long, ck binary, sig array<long>, bands array<long>"
+_SKETCH = "doc_id long, th long, n_shingles long, ck binary, sig array<long>, bands array<long>"
+
+
+def digest_of(s: Shingles) -> bytes:
+    """128 bits that tell sets apart. One shingle is digested from its words: single shingles are whole short texts,
+    of which a corpus holds enough for 64-bit hashes to meet by chance; larger sets from their hashes."""
+    if len(s.hashes) == 1:
+        return hashlib.blake2b(s.first_words(), digest_size=16, person=b"one").digest()
+    return hashlib.blake2b(s.hashes, digest_size=16).digest()
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, ck (digest of the set; null if empty), sig, bands."""
+    """doc_id, th (a hash of the text), n_shingles, ck (digest of the set; null if empty), sig, bands."""
     schema = T._parse_datatype_string(_SKETCH)
 
     def rows(batches):
@@ -98,38 +108,39 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 cols: list[list] = [[], [], [], []]
-                for s in shingle_sets(data, offsets, width):
-                    cols[0].append(len(s))
-                    if len(s):
-                        best = minima(s)
-                        cols[1].append(hashlib.blake2b(s, digest_size=16).digest())
+                for s in shingles(data, offsets, width):
+                    cols[0].append(len(s.hashes))
+                    if len(s.hashes):
+                        best = minima(s.hashes)
+                        cols[1].append(digest_of(s))
                         cols[2].append(signature(best))
                         cols[3].append(band_hashes(best))
                     else:
                         for c in cols[1:]:
                             c.append(None)
-                arrays = [batch.column(0)[a:b], *(pa.array(c, f.type) for c, f in zip(cols, list(target)[1:]))]
+                arrays = [batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(c, f.type) for c, f in zip(cols, list(target)[2:]))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return docs.mapInArrow(released(rows), schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(released(rows), schema)
 
 
 def _picked_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """nid, ck, text for the wanted classes: the texts of the documents with each class's least doc_id."""
-    ids = cut(wanted.join(classes.select("nid", "ck", "rep"), "nid").withColumn("rep", F.coalesce("rep", F.lit(-(1 << 63)))))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text")
+    """nid, ck, text for the wanted classes: each one's text of least (doc_id, hash of the text), once however many rows
+    hold it. Ids to pick are broadcast or shuffled by their number; rows that repeat combine before they are shuffled."""
+    ids = cut(wanted.join(classes.select("nid", "ck", F.col("pick.id").alias("id"), F.col("pick.th").alias("th")), "nid"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
     if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), "rep")
-    return docs.join(ids, "rep")
+        return docs.join(F.broadcast(ids), ["id", "th"]).groupBy("nid", "ck").agg(F.first("text").alias("text"))
+    return docs.groupBy("id", "th").agg(F.first("text").alias("text")).join(ids, ["id", "th"]).select("nid", "ck", "text")
 
 
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of class numbers whose full sets are similar enough. Sets are built from the texts again.
+    """Those pairs (a, b) of class numbers whose full sets are similar enough. Sets are built from the texts again, and
+    a shingle counts as shared if its words are equal.
 
     Every pair brings b's text to a's; a class with many pairs is copied to several tasks, SALT_ROWS pairs each.
     """
     texts = _picked_texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
-    # a rep shared by several classes (or null) brings other texts too: the set's digest tells them apart
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     many = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     heads = many.select("a", "salt").distinct()
@@ -138,23 +149,21 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     schema = T._parse_datatype_string("a long, b long")
 
     def matches(batches):
-        key, held = None, {}
+        key, held = None, None
         for batch in batches:
             first, salt, role, nid, ck = (batch.column(c).to_pylist() for c in ("a", "salt", "role", "nid", "ck"))
             found: list[tuple[int, int]] = []
             for x, y, data, offsets in text_slices(batch.column("text")):
-                for i, s in zip(range(x, y), shingle_sets(data, offsets, width)):
-                    if hashlib.blake2b(s, digest_size=16).digest() != ck[i]:
+                for i, s in zip(range(x, y), shingles(data, offsets, width)):
+                    if digest_of(s) != ck[i]:  # another text with the same id and hash
                         continue
                     if (first[i], salt[i]) != key:
-                        key, held = (first[i], salt[i]), {}
+                        key, held = (first[i], salt[i]), None
                     if role[i] == 0:
-                        held = {"set": s}
-                    elif held:
-                        other = held["set"]
-                        at = np.minimum(np.searchsorted(other, s), len(other) - 1)
-                        both = int(np.count_nonzero(other[at] == s))
-                        if 100 * both >= percent * (len(s) + len(other) - both):
+                        held = s.kept()
+                    elif held is not None:
+                        both = held.shared(s)
+                        if 100 * both >= percent * (len(s.hashes) + len(held.hashes) - both):
                             found.append((first[i], nid[i]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
@@ -167,7 +176,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     rows = cut(sketch(docs, width))
     total = rows.count()
     sized = rows.where(F.col("ck").isNotNull())
-    classes = sized.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = sized.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("pick"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("nid", F.monotonically_increasing_id()))
 
     # 2. bands with two members or more
@@ -176,8 +185,8 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     members = cut(join_groups(bands, shared, ["bucket"], "n", total * BANDS))
     stars = members.where(F.col("nid") != F.col("center")).groupBy("center", "nid").agg(F.count("*").alias("bands"))
     least = estimate_floor(percent / 100)
-    sigs = classes.select("nid", "sig")
-    stars = _with_estimate(stars.select(F.col("center").alias("a"), F.col("nid").alias("b"), "bands"), sigs).where(F.col("est") >= least)
+    sigs = classes.select("nid", "sig", "size")
+    stars = _with_estimate(stars.select(F.col("center").alias("a"), F.col("nid").alias("b"), "bands"), sigs, percent).where(F.col("est") >= least)
     tried = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "est", -F.col("a"))).alias("a")).select("a", "b"))
     links = cut(confirm(docs, classes, tried, width, percent))
 
@@ -187,7 +196,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     members = cut(members.select("bucket", "nid", "label"))
     mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
     mixed = cut(join_groups(members, mixed.select("bucket", "n"), ["bucket"], "n", total * BANDS).join(sigs, "nid"))
-    across = cut(_across(mixed, least))
+    across = cut(_across(mixed, least, percent))
     more = confirm(docs, classes, across.join(tried, ["a", "b"], "left_anti"), width, percent)
     links = cut(links.unionByName(more))
 
@@ -201,22 +210,37 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _with_estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    left = sigs.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a"))
-    right = sigs.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("est", estimate("sig_a", "sig_b")).drop("sig_a", "sig_b")
+def _near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough at all: the smaller one's share of the larger one."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _with_estimate(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    left = sigs.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"))
+    right = sigs.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"))
+    both = pairs.join(left, "a").join(right, "b").where(_near_sizes("size_a", "size_b", percent))
+    return both.withColumn("est", estimate("sig_a", "sig_b")).drop("sig_a", "sig_b", "size_a", "size_b")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs within a bucket, of different labels, whose estimate is high enough; large buckets are split by salt.
+def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs within a bucket, of different labels and near sizes, whose estimate is high enough.
 
-    A bucket of n members makes tasks of SALT_ROWS * n comparisons; only pairs that pass leave the join.
+    Sets that can be linked are in the same or the next of classes of sizes that grow by 100 / percent, so a bucket
+    falls into these first, and a large one into salts of ACROSS_ROWS members, each compared with all of its class.
+    Comparisons cost time, not rows: only pairs that pass leave the join. The exchange keeps its number of parts.
     """
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    left = members.select("bucket", F.pmod(F.xxhash64("nid"), salts).cast("int").alias("salt"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sig_a"))
-    right = members.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sig_b"))
-    pairs = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (estimate("sig_a", "sig_b") >= least))
-    return pairs.select("a", "b").distinct()
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("n") / ACROSS_ROWS).cast("int")
+    grow = math.log(100 / percent) if percent < 100 else 1e-9
+    members = members.withColumn("step", F.floor(F.log(F.col("size").cast("double")) / grow * (1 - 1e-9)).cast("long"))
+    order = F.struct("size", "nid")
+    left = members.select("bucket", "step", F.pmod(F.xxhash64("nid"), salts).cast("int").alias("salt"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"), order.alias("oa"))
+    right = members.select("bucket", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), salts.alias("salts"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), order.alias("ob"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    keys = ["bucket", "step", "salt"]
+    pairs = left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
+    pairs = pairs.where((F.col("oa") < F.col("ob")) & (F.col("la") != F.col("lb")) & _near_sizes("size_a", "size_b", percent) & (estimate("sig_a", "sig_b") >= least))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

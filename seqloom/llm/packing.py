@@ -18,13 +18,14 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm.common import cut, released, slices, with_columns_of
-from seqloom.llm.shingles import span_hashes
+from seqloom.llm.shingles import same_spans, span_hashes
 
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH, SALT_BITS = 3, 16, 15
@@ -32,7 +33,10 @@ VECTOR = 1024
 _RNG = np.random.Generator(np.random.PCG64(4099))
 _PROJECT = _RNG.standard_normal((VECTOR, DIMENSIONS))
 #: Words whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+
+#: Compressed ids in one range of the curve, on average; a task streams one range.
+RANGE_BYTES = 48_000_000
 
 
 def _ranges(chars: list[int]) -> str:
@@ -99,8 +103,9 @@ class WordTokenizer:
         self.type = np.dtype("<u2") if self.whole.get_vocab_size() < 65536 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.known = _Known(self.word, {})
-        self.by_hash: dict[int, bytes] = {}
-        self.older_by_hash: dict[int, bytes] = {}
+        #: hash -> (word, ids)
+        self.by_hash: dict[int, tuple[bytes, bytes]] = {}
+        self.older_by_hash: dict[int, tuple[bytes, bytes]] = {}
 
     def word(self, word: str) -> bytes:
         # printable ASCII stands for itself among the file's byte names
@@ -116,10 +121,13 @@ class WordTokenizer:
             self.known = _Known(self.word, dict(self.known))
         return ids
 
-
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Texts of ASCII and accented letters without an apostrophe are cut into words together, as
-        bytes, and only the distinct words of them all (told apart by 64-bit hashes) are looked up; others go one by one."""
+        bytes, and only the distinct words of them all are looked up; others go one by one.
+
+        Words are sorted by 64-bit hashes; each is compared with the one that stands for its hash, and with the
+        remembered one, byte by byte. Words that only share a hash are looked up for themselves.
+        """
         out: list = [None] * len(texts)
         simple, lower = [], []
         for i, text in enumerate(texts):
@@ -140,15 +148,22 @@ class WordTokenizer:
             solid = kind[edges] > 0
             start, end = edges[solid], ends[solid]
             hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+            stand = first[which]
+            other = np.flatnonzero(~same_spans(data, start, end, data, start[stand], end[stand]))
             keys = hashes.tolist()
-            ids = list(map(self.by_hash.get, keys))
-            for j, x in enumerate(ids):
-                if x is None:
-                    x = self.older_by_hash.get(keys[j])
-                    if x is None:
-                        at = first[j]
-                        x = self.word(joined[start[at] : end[at]].decode())
-                    ids[j] = self.by_hash[keys[j]] = x
+            ids = []
+            for key, at in zip(keys, first.tolist()):
+                word = joined[start[at] : end[at]]
+                x = self.by_hash.get(key) or self.older_by_hash.get(key)
+                if x is None or x[0] != word:
+                    x = (word, self.word(word.decode()))
+                self.by_hash[key] = x
+                ids.append(x[1])
+            if len(other):
+                which = which.copy()
+                for i in other.tolist():
+                    which[i] = len(ids)
+                    ids.append(self.word(joined[start[i] : end[i]].decode()))
             if len(self.by_hash) > CACHE_WORDS:
                 self.by_hash, self.older_by_hash = {}, self.by_hash
             flat = np.frombuffer(b"".join(ids), self.type)
@@ -252,13 +267,18 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_
     docs = with_columns_of(docs, {"doc_id": T.LongType(), "text": T.StringType()})
     rows = cut(tokenized(docs, path, end))
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    bounds = sorted(set(bounds or []))
-
-    below = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(below, lambda b: b < F.col("key"))))
-    # one row per range of keys, as many as there are shuffle partitions
+    # as many ranges as there are shuffle partitions, or more if those would hold over RANGE_BYTES on average
+    held = rows.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], min(1 << 20, 100 * parts))).first()[0]
+    bounds = np.array(sorted(set(bounds or [])), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, key.to_numpy()).astype(np.int32))
+
+    rows = rows.withColumn("bucket", range_of("key"))
+    # one row per range
     sums = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     first, at = {}, 0
     for b in sorted(sums):

@@ -167,11 +167,11 @@ def test_word_tokenizer_is_the_library(tokens):
     texts += ["", " ", "a1b22 c!!d", "ÀÉÎ žluťoučký Œ×÷", "x" * 3000]
     for _ in range(2):  # unknown words, then known ones
         assert [x.tolist() for x in own.many(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    own.by_hash, packing.CACHE_WORDS = {}, 5
+    own.by_hash, cache, packing.CACHE_WORDS = {}, packing.CACHE_WORDS, 5
     try:
         assert [x.tolist() for x in own.many(texts[:9])] == [whole.encode(t, add_special_tokens=False).ids for t in texts[:9]]
     finally:
-        packing.CACHE_WORDS = 200_000
+        packing.CACHE_WORDS = cache
 
 
 def test_packing_is_gapless_and_whole(spark, tokens):
