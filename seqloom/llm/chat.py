@@ -7,6 +7,8 @@ are escaped by one backslash after their opening bracket, reversibly, and `parse
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,34 +30,50 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, *UNESCAPE)
 
 
+def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(roots, jumps): tree, node, size, total (nodes and scores from a node to its root) of every node that has one;
+    and tables (tree, node, to) of the ancestors 1, 2, 4, ... steps up.
+
+    Each round joins every node's ancestor with that one's own, so depth d takes log2(d) rounds over narrow rows. Nodes
+    on a cycle or below one have no root; they are left over when a path can't be longer.
+    """
+    known = nodes.select("tree", F.col("node").alias("parent"))
+    up = nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").distinct()
+    state = cut(nodes.join(up.withColumnRenamed("parent", "to"), ["tree", "node"], "left").select("tree", "node", "to", F.lit(1).cast("long").alias("size"), F.col("score").alias("total")))
+    longest = nodes.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    done, rest, jumps, step = [state.where(F.col("to").isNull())], state.where(F.col("to").isNotNull()), [], 1
+    while step < longest and not rest.isEmpty():
+        jumps.append(rest.select("tree", "node", "to"))
+        on = reduce(DataFrame.unionByName, [*done, rest]).select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("size").alias("more"), F.col("total").alias("plus"))
+        state = cut(rest.join(on, ["tree", "to"]).select("tree", "node", F.col("far").alias("to"), (F.col("size") + F.col("more")).alias("size"), (F.col("total") + F.col("plus")).alias("total")))
+        done.append(state.where(F.col("to").isNull()))
+        rest, step = state.where(F.col("to").isNotNull()), 2 * step
+    return reduce(DataFrame.unionByName, done).select("tree", "node", "size", "total"), jumps
+
+
 def reply_paths(nodes: DataFrame, per_tree: int = 1, max_depth: int | None = None) -> DataFrame:
     """(tree, leaf, branch_rank, depth, node) for the `per_tree` best root-to-leaf paths of each tree.
 
-    nodes: tree, node, parent (null at a root), score (null: 0). A leaf is a node without replies. Jump tables of
-    doubling length are joined with the paths found so far, so depth d takes log2(d) rounds and every (leaf, ancestor)
-    pair arises once; only identifiers travel. Branches rank by mean score of their nodes, best first, ties to the
-    smaller leaf. A parent that isn't there makes its child a root; a cycle has no leaf and so no path. A path is at most
-    as long as its tree has nodes, which bounds the rounds; one that is longer than a max_depth given is an error.
+    nodes: tree, node, parent (null at a root), score (null: 0). A leaf is a node without replies. Self-joins of doubling
+    length carry sums of scores to each leaf, branches rank by mean score of their nodes, best first, ties to the
+    smaller leaf, and only the chosen leaves' ancestors are listed, again by doubling. A parent that isn't there makes
+    its child a root. A cycle has no leaf, and what hangs off it no root: neither has a path. A (tree, node) that
+    repeats is one node, of the least (parent, score), null first; a null tree or node takes no part. A path longer than
+    a max_depth given is an error.
     """
-    nodes = cut(nodes.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    jump = cut(nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")))
-    replied = jump.select("tree", F.col("to").alias("node")).distinct()
-    paths = nodes.join(replied, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    step, largest = 1, nodes.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    while step < largest and not jump.isEmpty():
-        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        paths = cut(paths.unionByName(more))
-        on = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(on, ["tree", "to"]).select("tree", "node", F.col("far").alias("to")))
-        step *= 2
-    if max_depth is not None and not paths.where(F.col("up") > max_depth).isEmpty():
+    nodes = nodes.where(F.col("tree").isNotNull() & F.col("node").isNotNull()).select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    nodes = cut(nodes.groupBy("tree", "node").agg(F.sort_array(F.collect_set(F.struct("parent", "score")))[0].alias("one")).select("tree", "node", "one.parent", "one.score"))
+    roots, jumps = _doubled(nodes)
+    leaves = roots.join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
+    order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("size")).desc(), "node")
+    best = leaves.withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= per_tree)
+    best = cut(best.select("tree", F.col("node").alias("leaf"), "branch_rank", "size"))
+    if max_depth is not None and not best.where(F.col("size") > max_depth + 1).isEmpty():
         raise ValueError(f"a path is longer than {max_depth} replies")
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-    best = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("top"))
-    order = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), "leaf")
-    best = best.withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= per_tree)
-    return paths.join(best, ["tree", "leaf"]).select("tree", "leaf", "branch_rank", (F.col("top") - F.col("up")).alias("depth"), "node")
+    paths = best.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        paths = cut(paths.unionByName(paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
+    return paths.join(best, ["tree", "leaf"]).select("tree", "leaf", "branch_rank", (F.col("size") - 1 - F.col("up")).alias("depth"), "node")
 
 
 def format_turns(turns: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -66,14 +84,13 @@ def format_turns(turns: DataFrame, by: list[str], order: str) -> DataFrame:
     """
     role, body = F.url_encode(text_or_empty("role")), escape(text_or_empty("text"))
     head = F.concat(F.lit(START), role, F.lit("\n"))
-    turns = turns.select(*by, F.struct(F.col(order).alias("at"), (text_or_empty("role") == "assistant").alias("learn"), head.alias("head"), body.alias("body"), F.lit(END + "\n").alias("tail")).alias("turn"))
-    rows = turns.groupBy(*by).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    size = F.transform("turns", lambda t: F.length(t.head) + F.length(t.body) + F.length(t.tail))
-    # running starts in one pass: an array of each turn's start
-    starts = F.aggregate(size, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.all, F.array(acc.at)).alias("all")), lambda acc: acc.all)
-    masked = F.zip_with("turns", starts, lambda t, at: F.struct(t.learn.alias("learn"), (at + F.length(t.head)).alias("start"), F.length(t.body).alias("length")))
-    spans = F.transform(F.filter(masked, lambda x: x.learn), lambda x: F.struct(x.start.alias("start"), x.length.alias("length")))
-    return rows.select(*by, F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, t.tail)), "").alias("text"), spans.alias("spans"))
+    turns = turns.select(*by, F.col(order).alias("at"), (text_or_empty("role") == "assistant").alias("learn"), F.concat(head, body, F.lit(END + "\n")).alias("all"), F.length(head).alias("lead"), F.length(body).alias("length"))
+    # running starts within the group, which is shuffled and sorted once for them and for the string
+    start = F.sum(F.length("all")).over(Window.partitionBy(*by).orderBy("at", "all").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("all") + F.col("lead")
+    turns = turns.withColumn("start", start.cast("int"))
+    rows = turns.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "start", "learn", "length", "all"))).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t.learn), lambda t: F.struct(t.start.alias("start"), t.length.alias("length")))
+    return rows.select(*by, F.array_join(F.transform("turns", lambda t: t.all), "").alias("text"), spans.alias("spans"))
 
 
 def parse(formatted: DataFrame, by: list[str]) -> DataFrame:
