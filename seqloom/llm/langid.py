@@ -7,7 +7,7 @@ the shares of all. The text model is fitted on a bounded sample of labelled rows
 all documents, whole texts.
 
 A text without letters gives no likelihood and leans on the other evidence. A null or unknown declaration, suffix or
-host gives none. Null texts are empty. Rows that repeat stay rows; all count in the priors. Without a labelled row no
+host gives none; documents without a suffix, and those of an empty one, are groups of their own in the priors. Null texts are empty. Rows that repeat stay rows; all count in the priors. Without a labelled row no
 language is known and every document is "und". Rejected are documents without any letter, or whose best language has
 a posterior under `least`, or isn't among `accepted`.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, released, with_columns_of
+from seqloom.llm.common import cut, join_groups, released, with_columns_of
 from seqloom.llm.shingles import text_slices
 
 #: Labelled rows the text model is fitted on, about; if there are more, those with small hashes of id and length.
@@ -160,18 +160,18 @@ def identify(docs: DataFrame, accepted: tuple[str, ...] = ACCEPTED, least: float
     root = hosts.agg(*[F.coalesce(F.sum(f"c{j}"), F.lit(0.0)) for j in range(len(langs))]).first()
     all_n = sum(root) + ROOT_PRIOR
     root_share = [(c + ROOT_PRIOR / len(langs)) / all_n for c in root]
-    suffixes = hosts.groupBy("suffix").agg(*sums)
+    # a null suffix and an empty one are suffixes of their own
+    hosts = hosts.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("suffix")), F.lit("-")))
+    suffixes = hosts.groupBy("skey").agg(*sums)
     suffix_n = sum((F.col(f"s{j}") for j in range(len(langs))), F.lit(SUFFIX_PRIOR))
     suffix_share = F.array(*[(F.col(f"s{j}") + SUFFIX_PRIOR * root_share[j]) / suffix_n for j in range(len(langs))])
-    suffixes = suffixes.select(F.coalesce("suffix", F.lit("")).alias("skey"), suffix_share.alias("up"))
+    suffixes = suffixes.select("skey", suffix_share.alias("up"))
     host_n = sum((F.col(f"c{j}") for j in range(len(langs))), F.lit(HOST_PRIOR))
-    hosts = hosts.withColumn("skey", F.coalesce("suffix", F.lit(""))).join(suffixes.groupBy("skey").agg(F.first("up").alias("up")), "skey")
+    hosts = hosts.join(suffixes, "skey")
     prior = F.array(*[F.log((F.col(f"c{j}") + HOST_PRIOR * F.col("up")[j]) / host_n) for j in range(len(langs))])
     n = sum((F.col(f"c{j}") for j in range(len(langs))), F.lit(0.0))
     hosts = cut(hosts.select(host_key().alias("hkey"), prior.alias("prior"), n.cast("long").alias("n")))
 
-    from seqloom.llm.common import join_groups
-
     rows = join_groups(scored.withColumn("hkey", host_key()), hosts, ["hkey"], "n", scored.count())
     post = _add(F.col("own"), F.col("prior"))
     top = F.array_max("post")
