@@ -17,7 +17,7 @@ def op2_vector_bin_packing(spark, sf_dir):
 
 
 def op5_pareto_mixing(spark, sf_dir):
-    return mixing.mix_decisions(table(spark, sf_dir, "documents"))
+    return mixing.mix_decisions(table(spark, sf_dir, "documents"), mixing.by_size())
 
 
 OP5_SQL = r"""
@@ -25,7 +25,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
-dp AS (SELECT *, CASE WHEN size < 32 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS pref FROM d),
+dp AS (SELECT *, size::DOUBLE / (size + 32)::DOUBLE AS pref FROM d),
 src AS (SELECT source, sum(size)::DOUBLE AS words FROM dp GROUP BY source),
 w1 AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3) + 1]::DOUBLE AS weight,
               words * 2.0::DOUBLE AS cap, sum(words) OVER () * 1.5::DOUBLE AS total FROM src),
@@ -39,9 +39,9 @@ c1 AS (SELECT c0.*, t.source_words, t.target, pref * words AS weight, words * 2.
 c2 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY source ORDER BY cap / weight, pref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
               sum(weight) OVER (PARTITION BY source ORDER BY cap / weight, pref ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM c1),
 c3 AS (SELECT *, cap * weights <= (total - caps) * weight AS is_full FROM c2),
-c4 AS (SELECT *, CASE WHEN is_full THEN cap ELSE max(CASE WHEN NOT is_full THEN (total - caps) / weights END) OVER (PARTITION BY source) * weight END AS share FROM c3),
-c5 AS (SELECT *, floor(least(share / words, 2.0)) AS certain, least(share / words, 2.0) - floor(least(share / words, 2.0)) AS chance FROM c4),
-c6 AS (SELECT *, sum(greatest(share - certain * words, 0)) OVER (PARTITION BY source) AS room FROM c5),
+c4 AS (SELECT *, max(CASE WHEN NOT is_full THEN (total - caps) / weights END) OVER (PARTITION BY source) AS level FROM c3),
+c5 AS (SELECT *, floor(least(coalesce(level * pref, 2.0), 2.0)) AS certain, least(coalesce(level * pref, 2.0), 2.0) - floor(least(coalesce(level * pref, 2.0), 2.0)) AS chance FROM c4),
+c6 AS (SELECT *, sum(chance * words) OVER (PARTITION BY source) AS room FROM c5),
 r0 AS (SELECT dp.doc_id, dp.source, dp.size, c.certain, c.room,
               CASE WHEN c.chance > 0 AND c.chance < 1 AND dp.size > 0 THEN (u / (1 - u)) / (c.chance / (1 - c.chance)) END AS rk
        FROM dp LEFT JOIN c6 c ON dp.source IS NOT DISTINCT FROM c.source AND dp.pref = c.pref),
