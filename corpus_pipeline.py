@@ -1,15 +1,15 @@
 """A training corpus from `documents`: identify languages, drop near copies, mask secrets, mix sources, pack.
 
 Each stage takes the whole output of the one before, written as Parquet in the shared folder and read again, so that
-a lost executor costs at most one stage's work.
+a lost executor costs at most one stage's work; it is deleted once the next one is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.core import fresh_path, remove
 from seqloom.llm import langid, mixing, neardup, packing, secrets
-from seqloom.llm.common import fresh_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
+    path, before = f"{sf_dir}/documents.parquet", None
     for _, stage in STAGES:
         docs = stage(spark, spark.read.parquet(path), sf_dir)
-        path = f"file://{fresh_dir(spark, 'stage')}"
+        path = fresh_path(spark, "stage")
         docs.write.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return spark.read.parquet(path)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,16 +16,34 @@ HOT_SHARE = 1 / 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder every executor sees, named by spark.checkpoint.dir, on any file system that Spark reaches.
+
+    Where that is unset and Spark runs in one process, a temporary folder that goes with it; on a cluster, an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, for Spark to write."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that fresh_path gave, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder; later plans start there, also after an executor is lost."""
     shared_dir(df.sparkSession)
