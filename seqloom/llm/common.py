@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqloom.core import cut, join_groups, numbered, shared_dir, with_columns_of
+from seqloom.core import cut, fresh_path, join_groups, numbered, shared_dir, with_columns_of
 
-__all__ = ["WORD", "cut", "fresh_dir", "join_groups", "numbered", "released", "shared_dir", "slices", "text_or_empty", "with_columns_of"]
+__all__ = ["WORD", "cut", "fresh_path", "join_groups", "numbered", "released", "shared_dir", "slices", "storage", "text_or_empty", "with_columns_of"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, without its file: prefix, for files that Python tasks write."""
-    return f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/{kind}-{uuid.uuid4().hex}"
+def storage(uri: str):
+    """(file system, path in it) of a path in the shared folder, for Python tasks. A scheme that can't be reached from
+    them is an error, never a local folder of that name."""
+    from pyarrow import fs
+
+    if urlsplit(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlsplit(uri).path
+    return fs.FileSystem.from_uri(uri)
 
 
 def text_or_empty(column: str = "text") -> Column:
