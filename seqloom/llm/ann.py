@@ -1,25 +1,29 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-Vectors fall into shards by a hash of their id. Each shard builds a tree whose inner nodes split by the median
+Vectors fall into shards by a hash of id and components. Each shard builds a tree whose inner nodes split by the median
 distance to a vantage point; a query skips a leaf if the triangle inequality, its bound multiplied by `relax`,
 puts the leaf beyond the query's k-th best so far. relax = 1 is exact search; larger factors skip more. Queries go to
-every shard in blocks of bounded size, and the shards' k best are merged by a top-k per query.
+every shard in blocks of bounded size, and the shards' k best are merged by a top-k per query. A shard's vectors come
+to one task, which builds its tree once and streams all blocks through it.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part.
 Scores are double precision, summed in component order. Ties go to the smaller id. A vec_id that repeats is several
-candidates, none of them for a query of that id; a repeated query is answered once. Null ids take no part.
+candidates, none of them for a query of that id; a repeated query is answered once, for its least vector in the order
+of arrays. Null ids take no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, with_columns_of
+from seqloom.llm.common import cut, released, with_columns_of
 
+#: Vectors in a shard and queries in a block, on average; a task holds one shard and one block.
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8_192, 1_024, 64
 
 
@@ -40,7 +44,7 @@ class VantageTree:
                     self._leaf(rows, path)
                 continue
             point = x[rows[rng.integers(len(rows))]]
-            d = np.sqrt(((x[rows] - point) ** 2).sum(axis=1))
+            d = distances(x[rows], point[None, :])[:, 0]
             order = np.argsort(d, kind="stable")
             half = len(rows) // 2
             if d[order[0]] == d[order[-1]]:  # equally far: nothing to split by
@@ -60,13 +64,13 @@ class VantageTree:
         low = np.zeros((len(queries), len(self.leaves)))
         if not self.points:
             return low
-        points = np.stack(self.points)
-        d = np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (points**2).sum(1) - 2 * queries @ points.T, 0))
-        # rounding of the expanded square must not cost a neighbour
-        slack = 1e-6 * (1 + d)
+        # sums of squared differences, whose error is relative to the distance however far off the origin vectors are
+        d = distances(queries, np.stack(self.points))
         for j, path in enumerate(self.paths):
             for number, near, far in path:
-                gap = np.maximum(near - d[:, number], d[:, number] - far) - slack[:, number]
+                # rounding must not cost a neighbour
+                slack = 1e-12 * (d[:, number] + far)
+                gap = np.maximum(near - d[:, number], d[:, number] - far) - slack
                 np.maximum(low[:, j], gap, out=low[:, j])
         return low
 
@@ -117,6 +121,11 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _packed_block(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("vec_id", ignore_index=True)
+    return pd.DataFrame({"block": rows.block[:1], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "data": [np.stack(rows.embedding.to_numpy()).astype(np.float64).tobytes()]})
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, relax: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest. vectors: vec_id, embedding."""
     rows = with_columns_of(vectors, {"vec_id": T.LongType(), "embedding": T.ArrayType(T.DoubleType())})
@@ -129,21 +138,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, relax: float = 1.
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = cut(queries)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    # every (shard, block) is one task: shard_rows vectors and about BLOCK_QUERIES queries, whatever the totals
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
-
-    def search(key, ours: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ours, asked = ours.sort_values("vec_id", kind="stable"), asked.sort_values("vec_id")
-        ids, names = ours.vec_id.to_numpy(), asked.vec_id.to_numpy()
-        tree = VantageTree(np.stack(ours.embedding.to_numpy()), seed=int(key[0]))
-        found, score, _ = tree.search(np.stack(asked.embedding.to_numpy()), names, ids, k, relax)
-        there = found >= 0
-        return pd.DataFrame({"query_id": np.broadcast_to(names[:, None], found.shape)[there], "vec_id": ids[found[there]], "score": score[there]})
-
-    by = ["shard", "block"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
+    # a shard's rows first, then the blocks of queries, each one row of packed bytes
+    d, spark = counts.d, vectors.sparkSession
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_packed_block, "block int, ids binary, data binary")
+    packed = cut(packed)
+    ours = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).alias("block"), "vec_id", "embedding", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("data"))
+    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), "ids", "data")
+
+    def search(batches):
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        shard, ids, x, tree, again = None, [], [], None, 0
+        for batch in batches:
+            of, block = batch.column("shard").to_pylist(), batch.column("block").to_pylist()
+            for i in range(batch.num_rows):
+                if of[i] != shard:
+                    shard, ids, x, tree, again = of[i], [], [], None, 0
+                if block[i] < 0:
+                    name, vector = batch.column("vec_id")[i].as_py(), batch.column("embedding")[i].values.to_numpy()
+                    # of equal rows, more than k can't be among the k nearest
+                    again = again + 1 if ids and ids[-1] == name and (x[-1] == vector).all() else 0
+                    if again < k:
+                        ids.append(name)
+                        x.append(vector.copy())
+                elif ids:
+                    if tree is None:
+                        names = np.array(ids)
+                        tree, x = VantageTree(np.stack(x), seed=shard), []
+                    asked_ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                    asked = np.frombuffer(batch.column("data")[i].as_py(), np.float64).reshape(-1, d)
+                    found, score, _ = tree.search(asked, asked_ids, names, k, relax)
+                    there = found >= 0
+                    columns = [np.broadcast_to(asked_ids[:, None], found.shape)[there], names[found[there]], score[there]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
+    found = ours.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "block", "vec_id", "embedding")
+    found = found.mapInArrow(released(search), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
