@@ -64,7 +64,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
-    rows = cut(measured(docs))
+    # each row's own number, which stays in the shared folder: rows that agree in all else can be told apart
+    rows = cut(measured(docs).withColumn("rid", F.monotonically_increasing_id()))
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     total = np.array([total.bytes or 0, total.tokens or 0, total.rows or 0], float)
@@ -81,12 +82,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             break
         least = r.step
     top = groups.where(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["share", "gid"], ascending=[False, True], ignore_index=True)
-    # a group beyond a whole shard is cut by a hash of doc_id into parts of about a quarter of one; under 3 * shards are
+    # a group beyond a whole shard is cut by numbers of its rows into parts of about a quarter of one; under 3 * shards are
     top["parts"] = np.where(top.share > 1 / shards, np.ceil(top.share * shards * 4), 1).astype("int64")
     spark = docs.sparkSession
-    cuts = [(bytes(r.gid), int(r.parts)) for r in top[top.parts > 1].itertuples()]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "gid binary, parts long"))
-    in_parts = rows.join(cuts, "gid").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    cuts = [(bytes(r.gid), int(r.parts), int(r.rows)) for r in top[top.parts > 1].itertuples()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "gid binary, parts long, of long"))
+    in_parts = numbered(rows.join(cuts, "gid"), ["gid"], ["rid"], [F.col("doc_id"), F.col("rid")], int(total[2]), "at")
+    in_parts = cut(in_parts.withColumn("part", F.floor(F.col("at") * F.col("parts") / F.col("of"))).drop("at", "parts", "of"))
     parts = in_parts.groupBy("gid", "part").agg(*sums).orderBy("gid", "part").toPandas()
     whole = top[top.parts == 1].assign(part=0)
     placed = pd.concat([parts, whole], ignore_index=True) if len(parts) else whole.reset_index(drop=True)
@@ -108,11 +110,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     packed = small.groupBy("block").applyInPandas(pack_block, "gid binary, shard int")
     table = [(bytes(r.gid), int(r.part), int(r.shard)) for r in placed.itertuples()]
     table = F.broadcast(spark.createDataFrame(table, "gid binary, part long, shard int"))
-    known = rows.join(cuts.select("gid", "parts"), "gid", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    one = known.join(table, ["gid", "part"])
+    known = rows.join(cuts.select("gid"), "gid", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    one = in_parts.unionByName(known).join(table, ["gid", "part"])
     # groups here are smaller than the TOP largest
     two = rows.join(table.select("gid").distinct(), "gid", "left_anti").join(packed, "gid")
-    columns = ["doc_id", "size", "text_crc32", "gid", "shard"]
+    columns = ["doc_id", "size", "text_crc32", "rid", "shard"]
     out = cut(one.select(*columns).unionByName(two.select(*columns)))
-    out = numbered(out, ["shard"], ["doc_id", "gid"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], int(total[2]), "slot")
+    out = numbered(out, ["shard"], ["rid"], [F.col("doc_id"), F.col("rid")], int(total[2]), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
