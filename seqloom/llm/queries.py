@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import ann, chat, langid, mixing, neardup, ogg, packing, secrets, sharding, warc
+from seqloom.llm.common import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +114,12 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id, n.n
 
 
 def op10_blob_ledger(spark, sf_dir):
-    paths, _ = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    """Two runs over a stored ledger: the base rules first, then all rules, which scan for the new ones alone."""
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "ledger")
+    _, first = secrets.scan_documents(docs, rules=secrets.BASE)
+    first.write.parquet(path)
+    paths, more = secrets.scan_documents(docs, spark.read.parquet(path))
+    more.write.mode("append").parquet(path)
     return secrets.report(paths)
 
 
@@ -123,14 +129,14 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 k AS (SELECT * FROM (VALUES
   (0, 'assign', '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', 12),
   (1, 'access', '(AKIA[A-Z0-9]+)', '^', 18), (2, 'hex', '([0-9a-f]+)', '^', 16),
-  (3, 'pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', '^', 1),
+  (3, 'pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|(?:[\r\n\t ]*[A-Za-z0-9+/=]{16,}){0,60}))', '^', 1),
   (4, 'jwt', '(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', '^', 1)) v(rank, kind, pat, head, least)),
 m AS (SELECT rid, rank, kind, head, least, string_split(CASE rank
     WHEN 0 THEN regexp_replace(x, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(1), 'g')
     WHEN 1 THEN regexp_replace(x, '(AKIA[A-Z0-9]+)', chr(1) || '\1' || chr(1), 'g')
     WHEN 2 THEN regexp_replace(x, '([0-9a-f]+)', chr(1) || '\1' || chr(1), 'g')
-    WHEN 3 THEN regexp_replace(x, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', chr(1) || '\1' || chr(1), 'g')
-    ELSE regexp_replace(x, '(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', chr(1) || '\1' || chr(1), 'g') END, chr(1)) AS ps FROM t CROSS JOIN k),
+    WHEN 3 THEN regexp_replace(x, '(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|(?:[\r\n\t ]*[A-Za-z0-9+/=]{16,}){0,60}))', chr(1) || '\1' || chr(1), 'g')
+    ELSE regexp_replace(x, '(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', '\1' || chr(1) || '\2' || chr(1), 'g') END, chr(1)) AS ps FROM t CROSS JOIN k),
 u AS (SELECT rid, rank, kind, head, least, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM m WHERE len(ps) > 1),
 e AS (SELECT *, sum(length(p)) OVER (PARTITION BY rid, rank ORDER BY i) AS stop FROM u),
 f AS (SELECT rid, rank, kind, (stop - length(p))::BIGINT AS start, stop::BIGINT AS stop FROM e

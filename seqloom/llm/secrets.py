@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every text is a blob, addressed by its SHA-256. The ledger holds one row per scanned (blob, rule version) with the
-findings; a scan takes only blobs that the ledger lacks for the current rules, each once however many paths or
-versions hold it, and findings are joined back to all paths.
+Every text is a blob, addressed by its SHA-256. The ledger's rows say which rule versions a blob was scanned with, and
+what they found; a scan takes only (blob, rule version) pairs that the ledger lacks, each blob once however many paths
+or versions hold it, and findings are joined back to all paths. A text without the hint of any rule can't match: it
+gets its ledger row without being shuffled.
 
 Positions count code points, ends are exclusive. Null texts are empty blobs. Rows that repeat stay rows.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,19 +43,26 @@ BASE = (
     # maximal runs: the same as all runs of which the short ones are dropped
     Rule("hex", r"[0-9a-f]{16,}", 16, 0, r"[0-9a-f]{16}", True),
 )
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 EXTRA = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0, "-----BEGIN "),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0, "eyJ"),
+    # the whole key if its end is there, else the lines of base64 that follow the header
+    Rule("pem", _PEM + r"(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|(?:[\r\n\t ]*[A-Za-z0-9+/=]{16,}){0,60})", 1, 0, "-----BEGIN "),
+    # begins where a run does, so that each run is read once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 1, 0, "eyJ"),
 )
 RULES = BASE + EXTRA
 _EDGE, _STAND_IN = "\u0001", "\u0002"
-FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int>>"
-#: Columns of the ledger.
-LEDGER = f"blob string, version string, findings {FINDINGS}"
+FINDINGS = "array<struct<start:int,end:int,kind:string,version:string>>"
+#: Columns of the ledger: the rule versions a blob was scanned with, and all they found.
+LEDGER = f"blob string, versions array<string>, findings {FINDINGS}"
 
 
-def version(rules=RULES) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+def version(rule: Rule) -> str:
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
+
+
+def _versions(rules) -> Column:
+    return F.array(*[F.lit(version(r)) for r in rules])
 
 
 def blob_of(text: Column) -> Column:
@@ -66,15 +75,20 @@ def _has_hint(rule: Rule) -> Column:
     return F.col("text").rlike(rule.hint) if rule.hint_is_pattern else F.contains("text", F.lit(rule.hint))
 
 
+def has_any_hint(rules=RULES) -> Column:
+    """Whether text holds what some rule's matches must hold; false for null."""
+    return F.coalesce(reduce(Column.__or__, map(_has_hint, rules)), F.lit(False))
+
+
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blob, start, rank, kind, end for every finding in blobs (blob, text).
+    """blob, start, end, kind, version for every finding in blobs (blob, text, todo: the rule versions to scan with).
 
     Each match is put between marks, the text split there, and starts are running sums of the pieces' lengths: time
     and memory follow the text, however many matches it has. A mark that the text itself holds is replaced first by
     another control character, which no rule can match.
     """
     safe = F.when(F.contains("text", F.lit(_EDGE)), F.translate("text", _EDGE, _STAND_IN)).otherwise(F.col("text"))
-    marked = [F.when(_has_hint(r), F.struct(F.lit(k).alias("rank"), F.split(F.regexp_replace(safe, r.pattern, f"{_EDGE}$0{_EDGE}"), _EDGE, -1).alias("pieces"))) for k, r in enumerate(rules)]
+    marked = [F.when(F.array_contains("todo", version(r)) & _has_hint(r), F.struct(F.lit(k).alias("rank"), F.split(F.regexp_replace(safe, r.pattern, f"{_EDGE}$0{_EDGE}"), _EDGE, -1).alias("pieces"))) for k, r in enumerate(rules)]
     cut_up = blobs.select("blob", F.explode(F.filter(F.array(*marked), lambda m: m.isNotNull() & (F.size(m.pieces) > 1))).alias("m"))
     pieces = cut_up.select("blob", F.col("m.rank").alias("rank"), F.posexplode("m.pieces").alias("at", "piece"))
     long_enough = F.lit(False)
@@ -85,43 +99,34 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     before = F.sum("size").over(Window.partitionBy("blob", "rank").orderBy("at"))
     found = pieces.withColumn("end", before.cast("int")).where("found")
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
-    return found.select("blob", (F.col("end") - F.col("size")).alias("start"), "rank", kind.alias("kind"), "end")
-
-
-def scan_unseen(texts: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """New ledger rows for the distinct blobs in texts (blob, text) that the ledger lacks at this rule version."""
-    now = version(rules)
-    if ledger is not None:
-        texts = texts.join(ledger.where(F.col("version") == now).select("blob"), "blob", "left_anti")
-    texts = texts.dropDuplicates(["blob"])
-    found = scan(texts, rules)
-    order = F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end")))
-    findings = found.groupBy("blob").agg(order.alias("findings"))
-    return findings.select("blob", F.lit(now).alias("version"), "findings")
+    return found.select("blob", (F.col("end") - F.col("size")).alias("start"), "end", kind.alias("kind"), F.element_at(_versions(rules), F.col("rank") + 1).alias("version"))
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, new): every row of docs as doc_id, blob, findings; and the rows to append to the ledger.
+    """(paths, new): every row of docs as doc_id, blob, findings of the current rules; and the rows to append to the ledger.
 
     The ledger's rows for blobs without findings hold an empty array, so that they too are never scanned again.
     """
     docs = with_columns_of(docs, {"doc_id": T.LongType(), "text": T.StringType()}).select("doc_id", text_or_empty().alias("text"))
-    docs = docs.select("doc_id", blob_of(F.col("text")).alias("blob"), "text")
-    paths = cut(docs.select("doc_id", "blob"))
-    found = cut(scan_unseen(docs.select("blob", "text"), ledger, rules))
-    now = version(rules)
-    counts = paths.groupBy("blob").agg(F.count("*").alias("n"))
-    known = None if ledger is None else ledger.where(F.col("version") == now).select("blob", F.col("findings").alias("known"))
-    empty = F.array().cast(FINDINGS)
-    held = counts.join(found.select("blob", "findings"), "blob", "left")
-    if known is not None:
-        held = held.join(known, "blob", "left")
-        seen, findings = F.col("known").isNotNull(), F.coalesce("known", "findings", empty)
+    paths = cut(docs.select("doc_id", blob_of(F.col("text")).alias("blob")))
+    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    if ledger is not None:
+        held = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"), F.flatten(F.collect_list("findings")).alias("known"))
+        blobs = blobs.join(held, "blob", "left")
     else:
-        seen, findings = F.lit(False), F.coalesce("findings", empty)
-    held = cut(held.select("blob", "n", findings.alias("findings"), seen.alias("seen")))
-    new = held.where(~F.col("seen")).select("blob", F.lit(now).alias("version"), "findings")
-    return join_groups(paths, held.select("blob", "n", "findings"), ["blob"], "n", paths.count()), new
+        blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>")).withColumn("known", F.lit(None).cast(FINDINGS))
+    empty = F.array().cast(FINDINGS)
+    blobs = cut(blobs.withColumn("todo", F.array_except(_versions(rules), F.coalesce("seen", F.array().cast("array<string>")))))
+    # only texts that may match are moved to their pairs; the copies of one combine before that
+    texts = docs.where(has_any_hint(rules)).select(blob_of(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    found = scan(texts.join(blobs.where(F.size("todo") > 0).select("blob", "todo"), "blob"), rules)
+    found = cut(found.groupBy("blob").agg(F.collect_list(F.struct("start", "end", "kind", "version")).alias("found")))
+    blobs = cut(blobs.join(found, "blob", "left").withColumn("found", F.coalesce("found", empty)))
+    new = blobs.where(F.size("todo") > 0).select("blob", F.col("todo").alias("versions"), F.col("found").alias("findings"))
+    now = F.filter(F.concat(F.coalesce("known", empty), "found"), lambda f: F.array_contains(_versions(rules), f.version))
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (version(r), k)])
+    ordered = F.array_sort(F.transform(now, lambda f: F.struct(f.start.alias("start"), rank[f.version].alias("rank"), f.kind.alias("kind"), f.end.alias("end"))))
+    return join_groups(paths, blobs.select("blob", "n", ordered.alias("findings")), ["blob"], "n", paths.count()), new
 
 
 def as_spans(findings: Column) -> Column:
@@ -135,25 +140,31 @@ def report(paths: DataFrame) -> DataFrame:
     return paths.select("doc_id", *counts, F.sha2(as_spans(base), 256).alias("base_sha256"), as_spans(F.col("findings")).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", salts: int = 8) -> DataFrame:
-    """docs with every finding in `text` replaced; overlapping findings by one mask. n_chars follows the text."""
-    _, new = scan_documents(docs)
-    at = F.explode("findings").alias("f")
-    spans = new.select("blob", at).select("blob", "f.start", "f.end")
+def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
+    """docs with every finding in `text` replaced; overlapping findings by one mask. n_chars follows the text.
+
+    Only rows whose text has a rule's hint are joined with findings; the others stay where they are.
+    """
+    _, new = scan_documents(docs, rules=rules)
+    spans = new.select("blob", F.explode("findings").alias("f")).select("blob", "f.start", "f.end")
     order = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("first", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("run", F.sum("first").over(order))
     merged = spans.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    # a hot blob's rows spread over the salts, its spans are copied to each
-    merged = merged.select("blob", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "cuts")
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("blob", blob_of(F.coalesce("row.text", F.lit("")))).withColumn("salt", F.pmod(F.xxhash64("row.doc_id"), F.lit(salts)).cast("int"))
-    rows = rows.join(merged, ["blob", "salt"], "left")
+    columns, types = docs.columns, docs.schema
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    hinted = docs.where(has_any_hint(rules)).select(row, blob_of(F.col("text")).alias("blob"))
+    # a blob of many rows is joined by broadcasting its spans
+    counts = hinted.groupBy("blob").agg(F.count("*").alias("n"))
+    merged = cut(counts.join(merged, "blob", "left"))
+    total = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = join_groups(hinted, merged, ["blob"], "n", total)
     ends = F.concat(F.array(F.lit(0)), F.col("cuts.end"))
     starts = F.concat(F.col("cuts.start"), F.array(F.length("row.text")))
     kept = F.zip_with(ends, starts, lambda e, s: F.col("row.text").substr(e + 1, s - e))
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, mask))
     # n_chars counts the text's characters where the table has it
-    size = F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None
-    return rows.select(*[(text if c == "text" else size if c == "n_chars" else F.col("row")[c]).alias(c) for c in columns])
+    size = F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text)).cast(types["n_chars"].dataType) if "n_chars" in columns else None
+    changed = rows.select(*[(text if c == "text" else size if c == "n_chars" else F.col("row")[c]).alias(c) for c in columns])
+    return docs.where(~has_any_hint(rules)).unionByName(changed)
