@@ -83,3 +83,35 @@ def numbered(rows: DataFrame, group: list[str], spread: list[str], order: list[C
     sums = sums.select(*group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
     return rows.withColumn("_inner", inner).join(sums, [*group, "_cell"]).withColumn(name, (F.col("_inner") + F.col("_before")).cast("long")).drop("_cell", "_inner", "_before")
+
+
+def running(rows: DataFrame, order: list[Column], by: list[str] = [], sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
+    """rows with running sums and minima in `order`, own row included, within groups of `by`; and totals of the groups.
+
+    No group is ordered in one task: rows are spread by ranges of (by, order), written to the shared folder so that the
+    ranges stay as they are, and what the ranges before hold, one small row per range and group, is added. Rows equal
+    in all of `order` are in one range, in any order there. Nulls in `by` are a group.
+    """
+    sums, least, totals = sums or {}, least or {}, totals or {}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()))
+    each = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())], *[F.min(c).alias(f"_m{i}") for i, c in enumerate(least.values())], *[F.sum(c).alias(f"_t{i}") for i, c in enumerate(totals.values())], F.count("*").alias("_c"))
+    # as many rows as there are ranges and groups together
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_by{i}" for i in range(len(by))]
+    each = each.select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)],
+        F.col("_range").alias("_at"),
+        *[F.sum(f"_s{i}").over(before).alias(f"_s{i}") for i in range(len(sums))],
+        *[F.min(f"_m{i}").over(before).alias(f"_m{i}") for i in range(len(least))],
+        *[F.sum(f"_t{i}").over(group).alias(f"_t{i}") for i in range(len(totals))],
+    )
+    inner = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = {**{f"_x{i}": F.sum(c).over(inner) for i, c in enumerate(sums.values())}, **{f"_y{i}": F.min(c).over(inner) for i, c in enumerate(least.values())}}
+    kept = rows.columns
+    on = [rows[c].eqNullSafe(each[n]) for c, n in zip(by, names)] + [F.col("_range") == F.col("_at")]
+    out = (rows.withColumns(inside) if inside else rows).join(each, on)
+    made = [(F.coalesce(f"_s{i}", F.lit(0)) + F.col(f"_x{i}")).alias(n) for i, n in enumerate(sums)]
+    made += [F.least(f"_m{i}", f"_y{i}").alias(n) for i, n in enumerate(least)]
+    return out.select(*[c for c in kept if c != "_range"], *made, *[F.col(f"_t{i}").alias(n) for i, n in enumerate(totals)])

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.core import cut
+from seqloom.core import cut, running
 from seqloom.operators import pairs
 from seqloom.operators.graph import connected_components
 
@@ -14,7 +14,7 @@ from seqloom.operators.graph import connected_components
 def _numbered(components: DataFrame, ids: DataFrame) -> DataFrame:
     """cluster_id 0, 1, ... in order of first member; ids without an edge are clusters of one."""
     rows = ids.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("first"))
-    order = rows.select("first").distinct().withColumn("cluster_id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first")) - 1).cast("string"))
+    order = running(rows.select("first").distinct(), [F.col("first")], sums={"rank": F.lit(1)}).select("first", (F.col("rank") - 1).cast("string").alias("cluster_id"))
     return rows.join(order, "first").select("cluster_id", "id")
 
 

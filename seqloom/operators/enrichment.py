@@ -10,12 +10,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from seqloom.core import running
 from seqloom.operators.kmers import labelled_counts, limit_of
 
 
+#: Supports of more values than this aren't listed whole.
+WIDE = 4096
+
+
+def _wide_tails(a: int, k: int, p: int, n: int) -> tuple[float, float, float]:
+    """The same from the tails' ends: terms are summed outward from where a tail begins, over 12 standard deviations,
+    beyond which they vanish beside it. Probabilities rise to the mode and fall beyond, so the other tail is bisected."""
+    low, high, total = max(0, k - n), min(k, p), p + n
+    mode = min(high, max(low, (k + 1) * (p + 1) // (total + 2)))
+    reach = int(12 * math.sqrt(k * (p / total) * (n / total) * max(total - k, 0) / max(total - 1, 1))) + 60
+
+    def log_choose(top, below):
+        return math.lgamma(top + 1) - math.lgamma(below + 1) - math.lgamma(top - below + 1)
+
+    def log_p(x):
+        return log_choose(p, x) + log_choose(n, k - x) - log_choose(total, k)
+
+    def outward(x, step):
+        """Probability of x and all beyond it, x on that side of the mode."""
+        count = min(reach, (high - x if step > 0 else x - low))
+        t = x + step * np.arange(count, dtype=float)
+        rise = np.log((p - t) * (k - t)) - np.log((t + 1) * (n - k + t + 1)) if step > 0 else np.log(t * (n - k + t)) - np.log((p - t + 1) * (k - t + 1))
+        return math.exp(log_p(x)) * (1 + float(np.exp(np.cumsum(rise)).sum()))
+
+    def from_(x, step):
+        if low <= x <= high and (x - mode) * step >= 0:
+            return outward(x, step)
+        return 1.0 - from_(x - step, -step) if low <= x - step <= high else (0.0 if (x > high) == (step > 0) and not low <= x <= high else 1.0)
+
+    side = 1 if a >= mode else -1
+    own, bound = outward(a, side), log_p(a) + 1e-7
+    # the first value from the mode on the other side that is no likelier
+    inner, outer = mode, low if side > 0 else high
+    if log_p(outer) > bound:
+        other = 0.0
+    else:
+        while abs(outer - inner) > 1:
+            middle = (inner + outer) // 2
+            inner, outer = (middle, outer) if log_p(middle) > bound else (inner, middle)
+        other = outward(outer, -side) if a != mode else 1.0 - own
+    return min(1.0, from_(a, 1)), min(1.0, from_(a, -1)), min(1.0, own + max(other, 0.0))
+
+
 def _hypergeometric_tails(a: int, c: int, p: int, n: int) -> tuple[float, float, float]:
     """P(X >= a), P(X <= a), and the sum of probabilities up to that of a (relative tolerance 1e-7), of p draws' hits."""
     k, total = a + c, p + n
+    if min(k, p) - max(0, k - n) > WIDE:
+        return _wide_tails(a, k, p, n)
     x = np.arange(max(0, k - n), min(k, p) + 1)
     lg = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -99,10 +145,9 @@ def exclusive(rows: DataFrame, side: str = "both", strict: bool = True, min_pos:
 def fdr(rows: DataFrame, p: str = "pval") -> DataFrame:
     """Add qval by Benjamini and Hochberg. Equal p-values are one row until the end: the ordered part has distinct values only."""
     values = rows.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    one = Window.partitionBy(F.lit(1))
-    upto = values.withColumn("_rank", F.sum("_n").over(one.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(one))
-    q = F.min(F.col("_p") * F.col("_all") / F.col("_rank")).over(one.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    values = upto.withColumn("qval", F.least(q, F.lit(1.0))).select("_p", "qval")
+    upto = running(values, [F.col("_p")], sums={"_rank": F.col("_n")}, totals={"_all": F.col("_n")})
+    values = running(upto, [F.col("_p").desc()], least={"_q": F.col("_p") * F.col("_all") / F.col("_rank")})
+    values = values.select("_p", F.least("_q", F.lit(1.0)).alias("qval"))
     return rows.join(values, rows[p].eqNullSafe(values["_p"])).drop("_p")
 
 

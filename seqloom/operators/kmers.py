@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import text
 
@@ -12,19 +15,84 @@ def explode_kmers(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
     return seqs.select("id", *keep, F.explode(text.kmers(F.col("sequence"), k)).alias("kmer"))
 
 
+def _dense(code: np.ndarray, most: int, base: int) -> tuple[np.ndarray, int]:
+    """Codes that can take `base` more values each within 60 bits; renumbered by rank if they must be."""
+    if most * base < 1 << 60:
+        return code, most
+    values, code = np.unique(code, return_inverse=True)
+    return code, len(values)
+
+
+def window_counts(texts: list[str], ks: list[int]):
+    """For each k: (k, k-mers, windows, texts that hold it), over all overlapping windows of k code points."""
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters from here to the text's end
+    letters, ids = np.unique(points, return_inverse=True)
+    base, code, most = max(1, len(letters)), np.zeros(len(points), np.int64), 1
+    for k in range(1, max(ks, default=0) + 1):
+        if len(points) < k:
+            break
+        n = len(points) - k + 1
+        code, most = _dense(code[:n], most, base)
+        code, most = code * base + ids[k - 1 :], most * base
+        if k not in ks:
+            continue
+        whole = left[:n] >= k
+        values, first, which, windows = np.unique(code[whole], return_index=True, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(whole)[first]
+        pairs = np.unique(which * len(texts) + owner[:n][whole]) // max(1, len(texts))
+        yield k, [joined[i : i + k] for i in at.tolist()], windows, np.bincount(pairs, minlength=len(values))
+
+
+def counted(seqs: DataFrame, ks: list[int], *keep: str, slice_chars: int = 2_000_000) -> DataFrame:
+    """k, *keep, kmer, n (windows), rows (sequences): one row or more for each, to be summed.
+
+    Windows are counted by numbers in slices of many sequences, so that each k-mer of a slice leaves its map task once.
+    """
+    kinds = [seqs.schema[c] for c in keep]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), *kinds, T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType()), T.StructField("rows", T.LongType())])
+    ks = sorted(set(ks))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        held: dict[tuple, list] = {}
+
+        def given(key):
+            for k, names, windows, rows in window_counts(held.pop(key), ks):
+                each = [pa.array([v] * len(names), f.type) for v, f in zip(key, list(target)[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), k, np.int32)), *each, pa.array(names, pa.string()), pa.array(windows.astype(np.int64)), pa.array(rows.astype(np.int64))], schema=target)
+
+        sizes: dict[tuple, int] = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in keep])) if keep else [()] * batch.num_rows
+            for key, t in zip(keys, batch.column("sequence").to_pylist()):
+                if t:
+                    held.setdefault(key, []).append(t)
+                    sizes[key] = sizes.get(key, 0) + len(t)
+                    if sum(sizes.values()) >= slice_chars:
+                        for key in list(held):
+                            yield from given(key)
+                        sizes = {}
+        for key in list(held):
+            yield from given(key)
+
+    return seqs.select("sequence", *keep).mapInArrow(run, schema)
+
+
 def per_sequence(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
     """id, kmer, n: occurrences within a sequence. Every k-mer of a sequence leaves its map task once."""
     return explode_kmers(seqs, k, *keep).groupBy("id", *keep, "kmer").agg(F.count("*").alias("n"))
 
 
 def kmer_stats(seqs: DataFrame, k: int) -> DataFrame:
-    """kmer, occurrence (windows), count (sequences), freq_ratio (count over sequences of k characters or more).
-
-    The distinct pairs (kmer, id) are counted by two grouped sums, which combine before the shuffle.
-    """
-    pairs = per_sequence(seqs, k)
+    """kmer, occurrence (windows), count (sequences), freq_ratio (count over sequences of k characters or more)."""
     eligible = seqs.where(F.length("sequence") >= k).agg(F.count("*").alias("eligible"))
-    stats = pairs.groupBy("kmer").agg(F.sum("n").alias("occurrence"), F.count("*").alias("count"))
+    stats = counted(seqs, [k]).groupBy("kmer").agg(F.sum("n").alias("occurrence"), F.sum("rows").alias("count"))
     return stats.join(F.broadcast(eligible)).select("kmer", "occurrence", "count", (F.col("count") / F.col("eligible")).alias("freq_ratio"))
 
 
@@ -32,7 +100,7 @@ def kmer_totals(seqs: DataFrame, k: int) -> DataFrame:
     """One row: raw_total_kmers, raw_unique_kmers, n_sequences_total, n_sequences_eligible."""
     windows = F.greatest(F.length("sequence") - k + 1, F.lit(0))
     sizes = seqs.agg(F.count("*").alias("n_sequences_total"), F.count_if(F.length("sequence") >= k).alias("n_sequences_eligible"), F.coalesce(F.sum(windows), F.lit(0)).cast("long").alias("raw_total_kmers"))
-    unique = explode_kmers(seqs, k).agg(F.countDistinct("kmer").alias("raw_unique_kmers"))
+    unique = counted(seqs, [k]).agg(F.countDistinct("kmer").alias("raw_unique_kmers"))
     return sizes.join(F.broadcast(unique))
 
 
@@ -104,9 +172,7 @@ def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def diversity_profile(seqs: DataFrame, ks: list[int]) -> DataFrame:
     """k, entropy, gini, unique_kmers, total_kmers, is_optimal (largest entropy, ties to the smaller k); one pass over all k."""
-    each = F.array(*[F.struct(F.lit(k).alias("k"), text.kmers(F.col("sequence"), k).alias("kmers")) for k in ks])
-    rows = seqs.select(F.explode(each).alias("e")).select("e.k", F.explode("e.kmers").alias("kmer"))
-    counts = rows.groupBy("k", "kmer").agg(F.count("*").alias("n"))
+    counts = counted(seqs, ks).groupBy("k", "kmer").agg(F.sum("n").alias("n"))
     profile = entropy_of(counts, "n", "k")
     best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("entropy").desc(), "k"))
     return profile.withColumn("is_optimal", best == 1)
@@ -163,9 +229,8 @@ def limit_of(n: Column, top: int | None, fraction: float | None) -> Column:
 
 def frequent_motifs(seqs: DataFrame, ks: list[int], top: int | None = None, fraction: float | None = None, presence: bool = True, least: int = 1) -> DataFrame:
     """k, motif, count, freq (count over all sequences): for each k the most frequent, ties in order of the motif."""
-    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.array_distinct(text.kmers(F.col("sequence"), k)) if presence else text.kmers(F.col("sequence"), k)).alias("kmers")) for k in ks])
-    rows = seqs.select(F.explode(each).alias("e")).select("e.k", F.explode("e.kmers").alias("motif"))
-    counts = rows.groupBy("k", "motif").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    rows = counted(seqs, ks).withColumnRenamed("kmer", "motif")
+    counts = rows.groupBy("k", "motif").agg(F.sum("rows" if presence else "n").alias("count")).where(F.col("count") >= least)
     by = Window.partitionBy("k")
     ranked = counts.withColumn("rank", F.row_number().over(by.orderBy(F.col("count").desc(), "motif")))
     ranked = ranked.where(F.col("rank") <= top) if top is not None and fraction is None else ranked.withColumn("kept", F.count("*").over(by)).where(F.col("rank") <= limit_of(F.col("kept"), top, fraction))
@@ -175,8 +240,8 @@ def frequent_motifs(seqs: DataFrame, ks: list[int], top: int | None = None, frac
 
 def labelled_counts(seqs: DataFrame, k: int, presence: bool = True) -> DataFrame:
     """kmer, pos, neg: sequences (or windows) with label 1 and 0."""
-    pairs = per_sequence(seqs, k, "label")
-    weight = F.lit(1) if presence else F.col("n")
+    pairs = counted(seqs, [k], "label")
+    weight = F.col("rows" if presence else "n")
     return pairs.groupBy("kmer").agg(F.sum(F.when(F.col("label") == 1, weight).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, weight).otherwise(0)).alias("neg"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.core import cut, join_groups, running
+
 
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
     t, p = F.col("y_true") == 1, F.col("y_pred") == 1
@@ -52,16 +54,13 @@ def _by_score(rows: DataFrame, *by: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve; equal scores count half."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    below = F.coalesce(F.sum("nn").over(part.orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = _by_score(rows, *by).withColumn("won", F.col("np") * (below + F.col("nn") / 2))
+    s = running(_by_score(rows, *by), [F.col("y_score")], list(by), sums={"upto": F.col("nn")})
+    s = s.withColumn("won", F.col("np") * (F.col("upto") - F.col("nn") / 2))
     return s.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("np") * F.sum("nn")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, *by: str) -> DataFrame:
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    down = part.orderBy(F.col("y_score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(rows, *by).withColumns({"tp": F.sum("np").over(down), "all": F.sum(F.col("np") + F.col("nn")).over(down)})
+    s = running(_by_score(rows, *by), [F.col("y_score").desc()], list(by), sums={"tp": F.col("np"), "all": F.col("np") + F.col("nn")})
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("np") * F.col("tp") / F.col("all")), F.sum("np")).alias("pr_auc"))
 
 
@@ -79,10 +78,12 @@ def regression(rows: DataFrame) -> DataFrame:
 
 
 def mean_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows with the mean rank of a column's value; only distinct values are ordered."""
+    """rows with the mean rank of a column's value; only distinct values are ordered, and one of many rows is joined by
+    broadcast. Rows without a value go."""
     n = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(n.select(column, (upto - (F.col("_n") - 1) / 2).alias(name)), column)
+    ranks = running(n.where(F.col(column).isNotNull()), [F.col(column)], sums={"_upto": F.col("_n")})
+    ranks = cut(ranks.select(column, "_n", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)))
+    return join_groups(rows, ranks, [column], "_n", rows.count()).drop("_n")
 
 
 def correlations(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.core import running
 from seqloom.operators import cluster, pairs
 
 
@@ -37,7 +38,7 @@ def conflict_stats(rows: DataFrame, *keys: str) -> DataFrame:
 def reduce_by_clusters(seqs: DataFrame, clusters: DataFrame, how: str = "first") -> DataFrame:
     """new_id, id, sequence, cluster_id: a representative per cluster, numbered from 0 by id."""
     reps = cluster.representatives(clusters, seqs, how)
-    return reps.withColumn("new_id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")) - 1).cast("long")).select("new_id", "id", "sequence", "cluster_id")
+    return running(reps, [F.col("id")], sums={"rank": F.lit(1)}).withColumn("new_id", (F.col("rank") - 1).cast("long")).select("new_id", "id", "sequence", "cluster_id")
 
 
 def reduction(original: Column, final: Column) -> list[Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.core import running
+
 FRACTIONS = (0.8, 0.1, 0.1)
 NAMES = ("train", "valid", "test")
 
@@ -26,8 +28,8 @@ def by_position(rank: Column, n: Column, fractions=FRACTIONS) -> Column:
 
 
 def _ranked(rows: DataFrame, order: list[Column], *by: str) -> DataFrame:
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return rows.withColumns({"_rank": F.row_number().over(part.orderBy(*order)), "_n": F.count("*").over(part)})
+    """rows with their rank from 1 and the number of rows, in each group of `by`; order must leave no ties."""
+    return running(rows, order, list(by), sums={"_rank": F.lit(1)}, totals={"_n": F.lit(1)})
 
 
 def random_split(ids: DataFrame, seed: int = 42, fractions=FRACTIONS) -> DataFrame:
@@ -184,8 +186,11 @@ def by_frequency(rows: DataFrame, how: str = "rare_to_test", fractions=FRACTIONS
     """id, n, split of entities by how often they occur: rare ones to test, common ones to train, or thirds mixed."""
     f = rows.groupBy("id").agg(F.count("*").alias("n"))
     if how == "balanced_frequency":
-        third = F.ntile(3).over(Window.partitionBy(F.lit(1)).orderBy("n", "id"))
-        ranked = _ranked(f.withColumn("third", third), [hash_order(42, "id"), F.col("id")], "third")
+        # the first thirds get the rows that are over
+        placed = _ranked(f, [F.col("n"), F.col("id")]).withColumns({"_size": F.floor(F.col("_n") / 3), "_over": F.col("_n") % 3})
+        large = F.col("_over") * (F.col("_size") + 1)
+        third = F.when(F.col("_rank") <= large, F.ceil(F.col("_rank") / (F.col("_size") + 1))).otherwise(F.col("_over") + F.ceil((F.col("_rank") - large) / F.greatest(F.col("_size"), F.lit(1))))
+        ranked = _ranked(placed.select("id", "n", third.cast("int").alias("third")), [hash_order(42, "id"), F.col("id")], "third")
         return ranked.select("id", "n", by_position(F.col("_rank"), F.col("_n"), fractions).alias("split"))
     if how not in ("rare_to_test", "common_to_train"):
         raise ValueError(f"unknown strategy {how!r}")
