@@ -25,7 +25,8 @@ from seqloom.llm.common import cut, join_groups, text_or_empty, with_columns_of
 class Rule:
     """Matches of `pattern`, leftmost and not overlapping, of which those stay whose `group` has `least` characters.
 
-    hint: a literal that every match holds, or a pattern; texts without it are passed over.
+    hint: a literal that every match holds, or a pattern; texts without it are passed over. signs and words: if given,
+    every match holds one of each, words in either case; they are looked for before the hint, as that is cheaper.
     """
 
     kind: str
@@ -34,11 +35,13 @@ class Rule:
     group: int = 0
     hint: str = ""
     hint_is_pattern: bool = False
+    signs: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
 
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (
-    Rule("assign", _ASSIGN, 12, 2, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", True),
+    Rule("assign", _ASSIGN, 12, 2, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", True, ("=", ":"), ("passw", "secret", "token", "api_key", "apikey")),
     Rule("access", r"AKIA[A-Z0-9]+", 18, 0, "AKIA"),
     # maximal runs: the same as all runs of which the short ones are dropped
     Rule("hex", r"[0-9a-f]{16,}", 16, 0, r"[0-9a-f]{16}", True),
@@ -51,6 +54,8 @@ EXTRA = (
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 1, 0, "eyJ"),
 )
 RULES = BASE + EXTRA
+#: Blobs with findings that are broadcast for masking (64 bytes each, and 8 for each of four findings, on average, at most).
+BROADCAST_BLOBS = 100_000
 _EDGE, _STAND_IN = "\u0001", "\u0002"
 FINDINGS = "array<struct<start:int,end:int,kind:string,version:string>>"
 #: Columns of the ledger: the rule versions a blob was scanned with, and all they found.
@@ -72,7 +77,12 @@ def blob_of(text: Column) -> Column:
 def _has_hint(rule: Rule) -> Column:
     if not rule.hint:
         return F.lit(True)
-    return F.col("text").rlike(rule.hint) if rule.hint_is_pattern else F.contains("text", F.lit(rule.hint))
+    found = F.col("text").rlike(rule.hint) if rule.hint_is_pattern else F.contains("text", F.lit(rule.hint))
+    if rule.words:
+        found = reduce(Column.__or__, [F.contains(F.lower("text"), F.lit(w)) for w in rule.words]) & found
+    if rule.signs:
+        found = reduce(Column.__or__, [F.contains("text", F.lit(w)) for w in rule.signs]) & found
+    return found
 
 
 def has_any_hint(rules=RULES) -> Column:
@@ -108,8 +118,8 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES
     The ledger's rows for blobs without findings hold an empty array, so that they too are never scanned again.
     """
     docs = with_columns_of(docs, {"doc_id": T.LongType(), "text": T.StringType()}).select("doc_id", text_or_empty().alias("text"))
-    paths = cut(docs.select("doc_id", blob_of(F.col("text")).alias("blob")))
-    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    paths = cut(docs.select("doc_id", blob_of(F.col("text")).alias("blob"), has_any_hint(rules).alias("hinted")))
+    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"), F.first("hinted").alias("hinted"))
     if ledger is not None:
         held = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"), F.flatten(F.collect_list("findings")).alias("known"))
         blobs = blobs.join(held, "blob", "left")
@@ -119,14 +129,14 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES
     blobs = cut(blobs.withColumn("todo", F.array_except(_versions(rules), F.coalesce("seen", F.array().cast("array<string>")))))
     # only texts that may match are moved to their pairs; the copies of one combine before that
     texts = docs.where(has_any_hint(rules)).select(blob_of(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
-    found = scan(texts.join(blobs.where(F.size("todo") > 0).select("blob", "todo"), "blob"), rules)
+    found = scan(texts.join(blobs.where((F.size("todo") > 0) & F.col("hinted")).select("blob", "todo"), "blob"), rules)
     found = cut(found.groupBy("blob").agg(F.collect_list(F.struct("start", "end", "kind", "version")).alias("found")))
     blobs = cut(blobs.join(found, "blob", "left").withColumn("found", F.coalesce("found", empty)))
     new = blobs.where(F.size("todo") > 0).select("blob", F.col("todo").alias("versions"), F.col("found").alias("findings"))
     now = F.filter(F.concat(F.coalesce("known", empty), "found"), lambda f: F.array_contains(_versions(rules), f.version))
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (version(r), k)])
     ordered = F.array_sort(F.transform(now, lambda f: F.struct(f.start.alias("start"), rank[f.version].alias("rank"), f.kind.alias("kind"), f.end.alias("end"))))
-    return join_groups(paths, blobs.select("blob", "n", ordered.alias("findings")), ["blob"], "n", paths.count()), new
+    return join_groups(paths.drop("hinted"), blobs.select("blob", "n", ordered.alias("findings")), ["blob"], "n", paths.count()), new
 
 
 def as_spans(findings: Column) -> Column:
@@ -143,9 +153,10 @@ def report(paths: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
     """docs with every finding in `text` replaced; overlapping findings by one mask. n_chars follows the text.
 
-    Only rows whose text has a rule's hint are joined with findings; the others stay where they are.
+    Up to BROADCAST_BLOBS blobs with findings are broadcast and no text is moved; of more, only rows whose text has a
+    rule's hint are joined with them by shuffling.
     """
-    _, new = scan_documents(docs, rules=rules)
+    paths, new = scan_documents(docs, rules=rules)
     spans = new.select("blob", F.explode("findings").alias("f")).select("blob", "f.start", "f.end")
     order = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -153,18 +164,22 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
     merged = spans.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     columns, types = docs.columns, docs.schema
+    counts = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    merged = cut(merged.join(counts, "blob"))
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    hinted = docs.where(has_any_hint(rules)).select(row, blob_of(F.col("text")).alias("blob"))
-    # a blob of many rows is joined by broadcasting its spans
-    counts = hinted.groupBy("blob").agg(F.count("*").alias("n"))
-    merged = cut(counts.join(merged, "blob", "left"))
-    total = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = join_groups(hinted, merged, ["blob"], "n", total)
+    if merged.count() <= BROADCAST_BLOBS and merged.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0] <= 4 * BROADCAST_BLOBS:
+        rows = docs.select(row, F.when(has_any_hint(rules), blob_of(F.col("text"))).alias("blob")).join(F.broadcast(merged), "blob", "left")
+    else:
+        # rows that may hold findings are joined by blob, those of a hot one by broadcast; the others stay in place
+        hinted = docs.where(has_any_hint(rules)).select(row, blob_of(F.col("text")).alias("blob"))
+        plain = docs.where(~has_any_hint(rules)).select(row).withColumn("cuts", F.lit(None).cast(merged.schema["cuts"].dataType))
+        rest = paths.join(merged.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.count("*").alias("n"))
+        every = cut(merged.unionByName(rest, allowMissingColumns=True))
+        rows = join_groups(hinted, every, ["blob"], "n", paths.count()).select("row", "cuts").unionByName(plain)
     ends = F.concat(F.array(F.lit(0)), F.col("cuts.end"))
     starts = F.concat(F.col("cuts.start"), F.array(F.length("row.text")))
     kept = F.zip_with(ends, starts, lambda e, s: F.col("row.text").substr(e + 1, s - e))
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, mask))
     # n_chars counts the text's characters where the table has it
     size = F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text)).cast(types["n_chars"].dataType) if "n_chars" in columns else None
-    changed = rows.select(*[(text if c == "text" else size if c == "n_chars" else F.col("row")[c]).alias(c) for c in columns])
-    return docs.where(~has_any_hint(rules)).unionByName(changed)
+    return rows.select(*[(text if c == "text" else size if c == "n_chars" else F.col("row")[c]).alias(c) for c in columns])

@@ -242,8 +242,10 @@ def test_a_key_goes_whole(spark):
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["before [SECRET] after", "before [SECRET]\nDEK-Info: AES-128-CBC,00\n\n" + "MIIEpAIBAAKCAQEA0Z3VS5JJcds3xfn\n" * 20 + "; after", None]
 
 
-def test_redacting_a_hot_blob_without_ids(spark):
-    rows = [(None, "token = 0123456789abc", 1)] * 500 + [(i, f"clean {i}", 2) for i in range(500)]
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_redacting_a_hot_blob_without_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", broadcast)
+    rows = [(None, "token = 0123456789abc", 1)] * 500 + [(i, f"clean {i}" if i % 2 else f"clean {i} password=", 2) for i in range(500)]
     out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, blob int"))
     assert out.columns == ["doc_id", "text", "blob"]
     assert {r.text: r["count"] for r in out.where("doc_id IS NULL").groupBy("text").count().collect()} == {"[SECRET]": 500}
