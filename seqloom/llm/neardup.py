@@ -11,6 +11,10 @@ always confirmed on the full sets; linked documents form components.
    collision-corrected similarity, estimated from the signatures' bit counts, isn't far below the threshold is
    confirmed too. Pairs inside a component need no test, so no link between components is lost and no group emits all
    its pairs.
+4. Large bands hold a text's many edited copies, most of them near each other but not near enough. There, parities of
+   the shingles' hashes tell how many shingles two sets differ in at least, which excludes pairs for certain; first
+   only each member's nearest one of another component is confirmed and merged, then what is left as in 3. Only
+   members outside the band's largest component are compared with all, by blocks.
 
 At similarity 0.8, 40 bands of 4 miss a pair with probability (1 - 0.8**4)**40 < 1e-9, and the filter, 6 standard
 deviations below, with about as little. Null and empty texts have no shingles, keep apart, and are components of
@@ -43,6 +47,8 @@ _BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 BROADCAST_IDS = 200_000
 #: Members confirmed against one class in one task, and members of a band compared with all its others in one.
 SALT_ROWS, ACROSS_ROWS = 400, 2_000
+#: Bands of more members are large.
+LARGE_BAND = 8
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -67,6 +73,34 @@ def band_hashes(best: np.ndarray) -> np.ndarray:
     return mix(h + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """How often, odd or even, the set's hashes fall on each of a power of two of bits, twice its size or more. Sets
+    whose bits differ in n places differ in n shingles or more (Mitzenmacher, Pagh, Pham 2014)."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many shingles each set of a and each of b differ at least; rows are parities in 64-bit words. Longer ones
+    are folded to the shorter ones' bits."""
+    words = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1) for x in (a, b))
+    out = np.zeros((len(a), len(b)), np.int32)
+    for w in range(words):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As estimate() for rows of signatures with the same number."""
+    x = a ^ b
+    for k in (1, 2):
+        x = x | (x >> np.uint64(k))
+    equal = 1 - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) / HASHES
+    return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity from two signatures: the share of equal low bits, less what chance gives (2**-BITS)."""
     fold = "0x1111111111111111"
@@ -86,7 +120,7 @@ def estimate_floor(threshold: float) -> float:
     return threshold - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
 
-_SKETCH = "doc_id long, th long, n_shingles long, ck binary, sig array<long>, bands array<long>"
+_SKETCH = "doc_id long, th long, n_shingles long, ck binary, sig array<long>, bands array<long>, odd binary"
 
 
 def digest_of(s: Shingles) -> bytes:
@@ -98,7 +132,7 @@ def digest_of(s: Shingles) -> bytes:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (a hash of the text), n_shingles, ck (digest of the set; null if empty), sig, bands."""
+    """doc_id, th (a hash of the text), n_shingles, ck (digest of the set; null if empty), sig, bands, odd (parities)."""
     schema = T._parse_datatype_string(_SKETCH)
 
     def rows(batches):
@@ -107,7 +141,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         target = to_arrow_schema(schema)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
-                cols: list[list] = [[], [], [], []]
+                cols: list[list] = [[], [], [], [], []]
                 for s in shingles(data, offsets, width):
                     cols[0].append(len(s.hashes))
                     if len(s.hashes):
@@ -115,6 +149,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                         cols[1].append(digest_of(s))
                         cols[2].append(signature(best))
                         cols[3].append(band_hashes(best))
+                        cols[4].append(parities(s.hashes))
                     else:
                         for c in cols[1:]:
                             c.append(None)
@@ -176,7 +211,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     rows = cut(sketch(docs, width))
     total = rows.count()
     sized = rows.where(F.col("ck").isNotNull())
-    classes = sized.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("pick"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = sized.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("pick"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = cut(classes.withColumn("nid", F.monotonically_increasing_id()))
 
     # 2. bands with two members or more
@@ -190,13 +225,20 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     tried = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "est", -F.col("a"))).alias("a")).select("a", "b"))
     links = cut(confirm(docs, classes, tried, width, percent))
 
-    # 3. bands across components
+    # 4. in large bands each one's nearest of another component
+    large = members.where(F.col("n") > LARGE_BAND).select("bucket", "nid")
+    sets = cut(classes.join(large.select("nid").distinct(), "nid").select("nid", "size", "sig", "odd"))
+    mixed = _mixed(large, connected_components(links), total).join(sets, "nid")
+    nearest = _by_blocks(mixed, least, percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    nearest = cut(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    links = cut(links.unionByName(confirm(docs, classes, nearest, width, percent)))
+    tried = tried.unionByName(nearest)
+
+    # 3. and 4. what is left across components
     labels = connected_components(links)
-    members = members.select("bucket", "nid").join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("component", "nid"))
-    members = cut(members.select("bucket", "nid", "label"))
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
-    mixed = cut(join_groups(members, mixed.select("bucket", "n"), ["bucket"], "n", total * BANDS).join(sigs, "nid"))
-    across = cut(_across(mixed, least, percent))
+    across = _by_blocks(_mixed(large, labels, total).join(sets, "nid"), least, percent).select("a", "b").distinct()
+    small = _mixed(members.where(F.col("n") <= LARGE_BAND).select("bucket", "nid"), labels, total)
+    across = cut(across.unionByName(_across(cut(small.join(sigs, "nid")), least, percent)).distinct())
     more = confirm(docs, classes, across.join(tried, ["a", "b"], "left_anti"), width, percent)
     links = cut(links.unionByName(more))
 
@@ -210,6 +252,87 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _mixed(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Members (bucket, nid) of bands with several labels, with their label, the band's rows, its largest label `top`
+    and how many `others` are outside that."""
+    members = members.join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("label", F.coalesce("component", "nid"))
+    members = cut(members.select("bucket", "nid", "label"))
+    found = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    found = found.where(F.col("top.n") < F.col("n")).select("bucket", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
+    return join_groups(members, found, ["bucket"], "n", total * BANDS)
+
+
+def _by_blocks(members: DataFrame, least: float, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs a, b of different labels within a bucket that may be linked, and how far they are; with `nearest`, each
+    a's nearest b of every block. One of a pair lies outside the bucket's largest label.
+
+    These fall into salts of ACROSS_ROWS, each compared in one task with all members, which stream by.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("others") / ACROSS_ROWS).cast("int")
+    outside = F.col("label") != F.col("top")
+    columns = ["nid", "label", "size", "sig", "odd"]
+    left = members.where(outside).select("bucket", F.pmod(F.xxhash64("nid"), salts).cast("int").alias("salt"), F.lit(0).alias("role"), outside.alias("outside"), *columns)
+    right = members.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(1).alias("role"), outside.alias("outside"), *columns)
+    rows = left.unionByName(right).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "role")
+    schema = T._parse_datatype_string("a long, b long, far double")
+
+    def read(rows):
+        """Arrays of rows, one set of them for each length of parities."""
+        size, odd = rows.column("size").to_numpy(), rows.column("odd").to_pylist()
+        sig = np.array(rows.column("sig").to_pylist(), np.int64).view(np.uint64)
+        nid, label, outside = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("nid", "label", "outside"))
+        lengths = np.array([len(x) for x in odd])
+        for n in np.unique(lengths).tolist():
+            i = np.flatnonzero(lengths == n)
+            yield nid[i], label[i], outside[i], size[i], sig[i], np.frombuffer(b"".join(odd[k] for k in i), "<u8").reshape(len(i), -1)
+
+    def pairs(x, y):
+        nx, lx, _, sx, gx, ox = x
+        ny, ly, outside, sy, gy, oy = y
+        if 100 * sx.max() < percent * sy.min() or 100 * sy.max() < percent * sx.min():
+            return
+        both = sx[:, None] + sy
+        far = differences(ox, oy)
+        # 100 * shared >= percent * (both - shared), where twice the shared are both - far at most
+        on = (lx[:, None] != ly) & ((100 + percent) * (both - far) >= 2 * percent * both)
+        if not nearest:
+            on &= ~outside | (nx[:, None] < ny)
+        i, j = np.nonzero(on)
+        good = estimates(gx[i], gy[j]) >= least
+        i, j = i[good], j[good]
+        if len(i):
+            share = far[i, j] / both[i, j]
+            if nearest:
+                order = np.lexsort((ny[j], share, i))
+                order = order[np.unique(i[order], return_index=True)[1]]
+                i, j, share = i[order], j[order], share[order]
+            a, b = nx[i], ny[j]
+            if not nearest:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share)], ["a", "b", "far"])
+
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            bucket, salt, role = (batch.column(c).to_numpy() for c in ("bucket", "salt", "role"))
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]) | (role[1:] != role[:-1])) + 1
+            edges = [0, *new.tolist(), len(bucket)]
+            for start, stop in zip(edges[:-1], edges[1:]):
+                if start < stop and (bucket[start], salt[start]) != key:
+                    key, held = (bucket[start], salt[start]), []
+                for a in range(start, stop, 500):
+                    some = list(read(batch.slice(a, min(500, stop - a))))
+                    if role[start] == 0:
+                        held += some
+                    else:
+                        for x in held:
+                            for y in some:
+                                yield from pairs(x, y)
+
+    return rows.mapInArrow(released(compare), schema)
+
+
 def _near_sizes(a: str, b: str, percent: int) -> Column:
     """Whether sets of these sizes can be similar enough at all: the smaller one's share of the larger one."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
