@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.core import cut, fresh_path, join_groups, numbered, shared_dir, with_columns_of
 
-__all__ = ["WORD", "cut", "fresh_path", "join_groups", "numbered", "released", "shared_dir", "slices", "storage", "text_or_empty", "with_columns_of"]
+__all__ = ["WORD", "cut", "cut_texts", "fresh_path", "join_groups", "numbered", "released", "shared_dir", "slices", "storage", "text_or_empty", "with_columns_of"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,6 +39,21 @@ def slices(batch, size_of, limit: int = 4_000_000):
         yield start, batch.num_rows
 
 
+#: Bytes of texts that go to Python at once; Spark's own bound is 10,000 rows or 64 MB, held by the executor and by Python.
+BATCH_BYTES = 4_000_000
+
+
+def cut_texts(df: DataFrame) -> DataFrame:
+    """cut() of a plan that sends texts to Python, in batches of BATCH_BYTES."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return cut(df)
+    finally:
+        conf.set(key, before)
+
+
 def released(work):
     """A function of Arrow batches that gives freed memory back at its end: a Python worker outlives its task and
     waits, beside the executor's heap, with all it ever held."""

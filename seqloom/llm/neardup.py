@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, join_groups, released, with_columns_of
+from seqloom.llm.common import cut, cut_texts, join_groups, released, with_columns_of
 from seqloom.llm.shingles import Shingles, mix, shingles, text_slices
 from seqloom.operators.graph import connected_components
 
@@ -208,7 +208,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     docs = with_columns_of(docs, {"doc_id": T.LongType(), "text": T.StringType()})
-    rows = cut(sketch(docs, width))
+    rows = cut_texts(sketch(docs, width))
     total = rows.count()
     sized = rows.where(F.col("ck").isNotNull())
     classes = sized.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("pick"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
@@ -223,7 +223,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     sigs = classes.select("nid", "sig", "size")
     stars = _with_estimate(stars.select(F.col("center").alias("a"), F.col("nid").alias("b"), "bands"), sigs, percent).where(F.col("est") >= least)
     tried = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "est", -F.col("a"))).alias("a")).select("a", "b"))
-    links = cut(confirm(docs, classes, tried, width, percent))
+    links = cut_texts(confirm(docs, classes, tried, width, percent))
 
     # 4. in large bands each one's nearest of another component
     large = members.where(F.col("n") > LARGE_BAND).select("bucket", "nid")
@@ -231,7 +231,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     mixed = _mixed(large, connected_components(links), total).join(sets, "nid")
     nearest = _by_blocks(mixed, least, percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     nearest = cut(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(confirm(docs, classes, nearest, width, percent)))
+    links = cut_texts(links.unionByName(confirm(docs, classes, nearest, width, percent)))
     tried = tried.unionByName(nearest)
 
     # 3. and 4. what is left across components
@@ -240,7 +240,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     small = _mixed(members.where(F.col("n") <= LARGE_BAND).select("bucket", "nid"), labels, total)
     across = cut(across.unionByName(_across(cut(small.join(sigs, "nid")), least, percent)).distinct())
     more = confirm(docs, classes, across.join(tried, ["a", "b"], "left_anti"), width, percent)
-    links = cut(links.unionByName(more))
+    links = cut_texts(links.unionByName(more))
 
     labels = connected_components(links)
     found = classes.select("nid", "ck", "rep", "copies").join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import cut, released, slices, with_columns_of
+from seqloom.llm.common import cut_texts, released, slices, with_columns_of
 from seqloom.llm.shingles import same_spans, span_hashes
 
 LENGTH, END = 2048, 1
@@ -265,7 +265,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) for every piece."""
     docs = with_columns_of(docs, {"doc_id": T.LongType(), "text": T.StringType()})
-    rows = cut(tokenized(docs, path, end))
+    rows = cut_texts(tokenized(docs, path, end))
     spark = docs.sparkSession
     # as many ranges as there are shuffle partitions, or more if those would hold over RANGE_BYTES on average
     held = rows.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
