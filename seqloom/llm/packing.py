@@ -32,8 +32,10 @@ DIMENSIONS, DEPTH, SALT_BITS = 3, 16, 15
 VECTOR = 1024
 _RNG = np.random.Generator(np.random.PCG64(4099))
 _PROJECT = _RNG.standard_normal((VECTOR, DIMENSIONS))
-#: Words whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
+#: Words of texts cut one by one whose ids a Python worker remembers anew; when they are as many, those before them are forgotten.
 CACHE_WORDS = 100_000
+#: Bytes that a worker holds of words cut as bytes, with their ids and index; beyond, those used last stay, in half of that.
+CACHE_BYTES = 32_000_000
 
 #: Compressed ids in one range of the curve, on average; a task streams one range.
 RANGE_BYTES = 48_000_000
@@ -85,6 +87,107 @@ class _Known(dict):
         return out
 
 
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, values=()):
+        self.room, self.n = np.empty(0, kind), 0
+        self.add(np.array(values, kind))
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.empty(n + n // 2, self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begins[k], begins[k] + 1, ... of every span, end to end."""
+    upto = np.cumsum(sizes)
+    return np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class _Table:
+    """Words with their ids, as entries in the order in which they came, looked up by hashes many at once.
+
+    Slots hold entry numbers or -1; a hash is looked for from its own slot on. Who looks one up compares the words.
+    """
+
+    def __init__(self, kind):
+        self.kind, self.turn = kind, 0
+        self.fill(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+
+    def fill(self, hashes, words, word_sizes, ids, id_sizes, indexed, used) -> None:
+        self.hashes, self.indexed, self.used = _Rows(np.uint64), _Rows(bool), _Rows(np.int64)
+        self.words, self.ids = _Rows(np.uint8), _Rows(self.kind)
+        # where each entry's word and ids begin, and the end
+        self.word_at, self.ids_at = _Rows(np.int64, [0]), _Rows(np.int64, [0])
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.add(hashes, words, word_sizes, ids, id_sizes, indexed, used)
+
+    def add(self, hashes, words, word_sizes, ids, id_sizes, indexed, used) -> np.ndarray:
+        """Numbers of new entries. Those indexed have hashes that differ, and that no indexed entry has."""
+        new = np.arange(self.hashes.n, self.hashes.n + len(hashes))
+        self.word_at.add(self.words.n + np.cumsum(word_sizes))
+        self.ids_at.add(self.ids.n + np.cumsum(id_sizes))
+        for rows, values in ((self.hashes, hashes), (self.words, words), (self.ids, ids), (self.indexed, indexed), (self.used, used)):
+            rows.add(values)
+        if 2 * self.hashes.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.hashes.n - 1).bit_length(), -1, np.int32)
+            self.place(np.flatnonzero(self.indexed.all))
+        else:
+            self.place(new[indexed])
+        return new
+
+    def place(self, todo: np.ndarray) -> None:
+        last = len(self.slots) - 1
+        slot = (self.hashes.all[todo] & np.uint64(last)).astype(np.int64)
+        while len(todo):
+            free = self.slots[slot] < 0
+            # of several entries for one slot one stays
+            self.slots[slot[free]] = todo[free]
+            left = self.slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & last
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The indexed entry that has each hash, or -1."""
+        last, held = len(self.slots) - 1, self.hashes.all
+        out = self.slots[(hashes & np.uint64(last)).astype(np.int64)].astype(np.int64)
+        todo = np.flatnonzero(out >= 0)
+        todo = todo[held[out[todo]] != hashes[todo]]
+        slot = (hashes[todo] & np.uint64(last)).astype(np.int64)
+        while len(todo):
+            slot = (slot + 1) & last
+            found = self.slots[slot]
+            out[todo] = found
+            left = found >= 0
+            left[left] = held[found[left]] != hashes[todo[left]]
+            todo, slot = todo[left], slot[left]
+        return out
+
+    def held(self) -> int:
+        return 33 * self.hashes.n + self.words.n + self.ids.n * self.kind.itemsize + self.slots.nbytes
+
+    def trim(self, most: int) -> None:
+        """Beyond `most` bytes keeps the entries that were used last, half of those bytes at the most."""
+        if self.held() <= most:
+            return
+        sizes, id_sizes = np.diff(self.word_at.all), np.diff(self.ids_at.all)
+        order = np.argsort(-self.used.all, kind="stable")
+        # an entry takes up to eight slots of four bytes
+        keep = np.sort(order[np.cumsum((65 + sizes + id_sizes * self.kind.itemsize)[order]) <= most // 2])
+        words = self.words.all[_spans(self.word_at.all[keep], sizes[keep])]
+        ids = self.ids.all[_spans(self.ids_at.all[keep], id_sizes[keep])]
+        self.fill(self.hashes.all[keep], words, sizes[keep], ids, id_sizes[keep], self.indexed.all[keep], self.used.all[keep])
+
+
 class WordTokenizer:
     """The ids that a lower-casing word-end BPE file gives, with the ids of each word remembered.
 
@@ -103,9 +206,7 @@ class WordTokenizer:
         self.type = np.dtype("<u2") if self.whole.get_vocab_size() < 65536 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.known = _Known(self.word, {})
-        #: hash -> (word, ids)
-        self.by_hash: dict[int, tuple[bytes, bytes]] = {}
-        self.older_by_hash: dict[int, tuple[bytes, bytes]] = {}
+        self.seen = _Table(self.type)
 
     def word(self, word: str) -> bytes:
         # printable ASCII stands for itself among the file's byte names
@@ -147,31 +248,12 @@ class WordTokenizer:
             ends = np.append(edges[1:], len(data))
             solid = kind[edges] > 0
             start, end = edges[solid], ends[solid]
-            hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-            stand = first[which]
-            other = np.flatnonzero(~same_spans(data, start, end, data, start[stand], end[stand]))
-            keys = hashes.tolist()
-            ids = []
-            for key, at in zip(keys, first.tolist()):
-                word = joined[start[at] : end[at]]
-                x = self.by_hash.get(key) or self.older_by_hash.get(key)
-                if x is None or x[0] != word:
-                    x = (word, self.word(word.decode()))
-                self.by_hash[key] = x
-                ids.append(x[1])
-            if len(other):
-                which = which.copy()
-                for i in other.tolist():
-                    which[i] = len(ids)
-                    ids.append(self.word(joined[start[i] : end[i]].decode()))
-            if len(self.by_hash) > CACHE_WORDS:
-                self.by_hash, self.older_by_hash = {}, self.by_hash
-            flat = np.frombuffer(b"".join(ids), self.type)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
-            begins = np.cumsum(sizes) - sizes
-            each = sizes[which]
+            entry = self.entries(joined, data, start, end)
+            begins = self.seen.ids_at.all
+            each = begins[entry + 1] - begins[entry]
             upto = np.cumsum(each)
-            all_ids = flat[np.repeat(begins[which] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
+            all_ids = self.seen.ids.all[_spans(begins[entry], each)]
+            self.seen.trim(CACHE_BYTES)
             # where each text's words begin, then where its ids do
             places = np.cumsum([0] + [len(x) + 1 for x in lower])
             words = np.searchsorted(start, places)
@@ -180,6 +262,38 @@ class WordTokenizer:
                 out[i] = all_ids[bounds[k] : bounds[k + 1]]
         return out
 
+    def entries(self, joined: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The entry of `seen` for each word, a span of `joined` and of its bytes `data`; new words are added."""
+        seen, hashes = self.seen, span_hashes(data, start, end)
+        seen.turn += 1
+        entry = seen.find(hashes)
+        known = np.flatnonzero(entry >= 0)
+        at, e = seen.word_at.all, entry[known]
+        same = same_spans(data, start[known], end[known], seen.words.all, at[e], at[e + 1])
+        seen.used.all[e[same]] = seen.turn
+        taken = known[~same]
+        new = np.flatnonzero(entry < 0)
+        if len(new) + len(taken):
+            _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            stand = new[first]
+            same = same_spans(data, start[new], end[new], data, start[stand][which], end[stand][which])
+            # those that stand for their hashes, then each word that only shares a hash
+            alone = np.concatenate([new[~same], taken])
+            asked = np.concatenate([stand, alone])
+            words = [joined[a:b] for a, b in zip(start[asked].tolist(), end[asked].tolist())]
+            # byte names; no word holds a blank
+            names = b" ".join(words).decode("latin-1").translate(self.table).split(self.table[32])
+            ids, sizes, tokenize = [], [], self.model.tokenize
+            for name in names:
+                some = [t.id for t in tokenize(name)]
+                ids += some
+                sizes.append(len(some))
+            lengths = end[asked] - start[asked]
+            added = seen.add(hashes[asked], np.frombuffer(b"".join(words), np.uint8), lengths, np.array(ids, self.type), np.array(sizes, np.int64), np.arange(len(asked)) < len(stand), np.full(len(asked), seen.turn))
+            entry[new] = added[: len(stand)][which]
+            entry[alone] = added[len(stand) :]
+        return entry
+
 
 #: Bytes of texts that are cut as bytes: ASCII, and the accented letters of C3 to C5 but for two signs and one letter.
 _SIMPLE_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])

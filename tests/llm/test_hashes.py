@@ -122,3 +122,54 @@ def test_null_and_repeated_ids_read_each_text_once(spark, monkeypatch, broadcast
     docs = df.select(F.col("doc_id"), "text")
     classes = docs.select(F.lit(1).alias("nid"), F.lit(b"x").alias("ck"), F.struct(F.lit(7).cast("long").alias("id"), F.xxhash64(F.lit(texts[0])).alias("th")).alias("pick")).limit(1)
     assert [r.text for r in neardup._picked_texts(docs, classes, classes.select("nid")).collect()] == [texts[0]]
+
+
+class Counted:
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, word):
+        self.calls += 1
+        return self.model.tokenize(word)
+
+
+def test_many_words_go_to_the_library_once_each(tokens):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters[:13] for b in letters for c in letters for d in letters][:220_000]
+    texts = [" ".join(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    own = packing.WordTokenizer(tokens)
+    own.model = Counted(own.model)
+    first = [own.many([t])[0] for t in texts]
+    assert own.model.calls == len(words)
+    assert all((own.many([t])[0] == x).all() for t, x in zip(texts, first))
+    assert own.model.calls == len(words)
+    assert first[3].tolist() == library_ids(tokens, texts[3:4])[0]
+
+
+def test_remembered_words_keep_within_their_bytes(tokens, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 40_000)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"wé{'xyz'[i % 3] * int(i % 40)}{'abcdefghij'[i % 10]} the" for i in rng.integers(0, 3000, 400)) for _ in range(30)]
+    texts += ["é" * 50_000 + " one long word", " ", "the"]
+    want = library_ids(tokens, texts)
+    own = packing.WordTokenizer(tokens)
+    for _ in range(2):
+        for t, ids in zip(texts, want):
+            assert own.many([t])[0].tolist() == ids
+            assert own.seen.held() <= 40_000
+    assert [x.tolist() for x in own.many(texts)] == want
+
+
+@pytest.mark.parametrize("hashed", [lambda h: h << np.uint64(40), lambda h: h >> np.uint64(60), lambda h: h | np.uint64((1 << 40) - 1)])
+def test_words_that_share_slots_have_their_own_ids(tokens, monkeypatch, hashed):
+    """Also when they are forgotten in between."""
+    monkeypatch.setattr(packing, "span_hashes", lambda data, start, end: hashed(shingles.span_hashes(data, start, end)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 6))) for _ in range(60)) + " 1 ?!" for _ in range(20)]
+    want = library_ids(tokens, texts)
+    for held in (packing.CACHE_BYTES, 30_000):
+        monkeypatch.setattr(packing, "CACHE_BYTES", held)
+        own = packing.WordTokenizer(tokens)
+        for _ in range(2):
+            assert [own.many([t])[0].tolist() for t in texts] == want
+            assert [x.tolist() for x in own.many(texts)] == want
