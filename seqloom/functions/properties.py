@@ -6,6 +6,8 @@ Constants: hydropathy (Kyte and Doolittle 1982), instability weights (Guruprasad
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,52 +58,72 @@ def fraction(s: Column, letters: str) -> Column:
     return count(s, letters) / F.length(s)
 
 
-def charge(s: Column, ph: Column | float = 7.0) -> Column:
-    """Net charge by Henderson and Hasselbalch, with the pK of the ends set by their residues."""
-    ph = F.lit(ph) if isinstance(ph, (int, float)) else ph
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once a row: expressions inside the lambdas of body would evaluate it anew in each step."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _end(letter: Column, table: dict[str, float], other: float) -> Column:
+    out = F.lit(other)
+    for k, v in table.items():
+        out = F.when(letter == k, v).otherwise(out)
+    return out
+
 
-    def end(letter: Column, table: dict[str, float], other: float) -> Column:
-        out = F.lit(other)
-        for k, v in table.items():
-            out = F.when(letter == k, v).otherwise(out)
-        return out
+def _charged(s: Column) -> Column:
+    """What the charge depends on: pK of both ends, and numbers of the residues with one."""
+    ends = [_end(F.substring(s, 1, 1), N_TERM_OF, N_TERM).alias("first"), _end(F.substring(s, -1, 1), C_TERM_OF, C_TERM).alias("last")]
+    return F.struct(*ends, *[count(s, x).alias(x) for x in (*POSITIVE, *NEGATIVE)])
 
-    first, last = F.substring(s, 1, 1), F.substring(s, -1, 1)
-    out = 1 / (1 + F.pow(F.lit(10.0), ph - end(first, N_TERM_OF, N_TERM))) - 1 / (1 + F.pow(F.lit(10.0), end(last, C_TERM_OF, C_TERM) - ph))
+
+def _charge_at(c: Column, ph: Column) -> Column:
+    out = 1 / (1 + F.pow(F.lit(10.0), ph - c["first"])) - 1 / (1 + F.pow(F.lit(10.0), c["last"] - ph))
     for letter, pk in POSITIVE.items():
-        out = out + count(s, letter) / (1 + F.pow(F.lit(10.0), ph - pk))
+        out = out + c[letter] / (1 + F.pow(F.lit(10.0), ph - pk))
     for letter, pk in NEGATIVE.items():
-        out = out - count(s, letter) / (1 + F.pow(F.lit(10.0), pk - ph))
+        out = out - c[letter] / (1 + F.pow(F.lit(10.0), pk - ph))
     return out
 
 
+def charge(s: Column, ph: Column | float = 7.0) -> Column:
+    """Net charge by Henderson and Hasselbalch, with the pK of the ends set by their residues."""
+    ph = F.lit(ph) if isinstance(ph, (int, float)) else ph
+    return bound(_charged(s), lambda c: _charge_at(c, ph))
+
+
 def isoelectric_point(s: Column, steps: int = 24) -> Column:
-    """By bisection of the charge between pH 4.05 and 12."""
+    """By bisection of the charge between pH 4.05 and 12; residues are counted once, not in each step."""
     state = F.struct(F.lit(4.05).alias("lo"), F.lit(12.0).alias("hi"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc.lo + acc.hi) / 2
-        up = charge(s, mid) > 0
-        return F.struct(F.when(up, mid).otherwise(acc.lo).alias("lo"), F.when(up, acc.hi).otherwise(mid).alias("hi"))
+    def bisected(c: Column) -> Column:
+        def halve(acc: Column, _: Column) -> Column:
+            mid = (acc.lo + acc.hi) / 2
+            up = _charge_at(c, mid) > 0
+            return F.struct(F.when(up, mid).otherwise(acc.lo).alias("lo"), F.when(up, acc.hi).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, halve, lambda acc: (acc.lo + acc.hi) / 2)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, halve, lambda acc: (acc.lo + acc.hi) / 2)
+
+    return bound(_charged(s), bisected)
 
 
 def flexibility(s: Column, window: int = 9) -> Column:
-    """Mean over windows of 9 of the weighted mean flexibility; null for shorter strings."""
+    """Mean over windows of 9 of the weighted mean flexibility; null for shorter strings. The string is split once."""
     table = F.create_map(*[F.lit(x) for pair in FLEXIBILITY.items() for x in pair])
     weights = (0.25, 0.4375, 0.625, 0.8125)
-    parts = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda x: table[x])
+    split = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda x: table[x])
     n = F.length(s)
 
-    def at(i: Column) -> Column:
-        total = F.get(parts, i + 4)
-        for k, w in enumerate(weights):
-            total = total + w * (F.get(parts, i + k) + F.get(parts, i + 8 - k))
-        return total / 5.25
+    def mean(parts: Column) -> Column:
+        def at(i: Column) -> Column:
+            total = F.get(parts, i + 4)
+            for k, w in enumerate(weights):
+                total = total + w * (F.get(parts, i + k) + F.get(parts, i + 8 - k))
+            return total / 5.25
+
+        scores = F.transform(F.sequence(F.lit(0), F.size(parts) - window), at)
+        return bound(scores, lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x))
 
-    scores = F.transform(F.sequence(F.lit(0), n - window), at)
-    return F.when(n >= window, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
+    return F.when(n >= window, bound(split, mean))
 
 
 def table_of(s: Column) -> dict[str, Column]:
