@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from seqloom.functions import properties as P
+from seqloom.functions import similarity as S
+from seqloom.operators import blocks
 
 
 def test_properties_count_residues_once(spark):
@@ -22,3 +24,50 @@ def test_part_of_one_file_is_worked_on_by_many_tasks(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("PRP-4",):
         assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 16
+
+
+# pairs by blocks
+
+VECTORS = [[1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [-1.0, 0.5], None, [1.0], [float("nan"), 1.0], [None, 1.0], [1e200, 1.0], [3.0, 1.0], [1.0, 2.0], [0.1, 0.7]]
+
+
+def _near(a, b):
+    return a == b or (a is not None and b is not None and (abs(a - b) < 1e-12 or (a != a and b != b)))
+
+
+def _vectors(spark):
+    return spark.createDataFrame(list(enumerate(VECTORS)), "id long, vector array<double>")
+
+
+def _small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 2)
+    monkeypatch.setattr(blocks, "TILE", (2, 3))
+
+
+def _all(rows, *scores):
+    a, b = rows.select(F.col("id").alias("i"), F.col(rows.columns[1]).alias("x")), rows.select(F.col("id").alias("j"), F.col(rows.columns[1]).alias("y"))
+    return {(r.i, r.j): tuple(r)[2:] for r in a.join(b, F.col("i") < F.col("j")).select("i", "j", *scores).collect()}
+
+
+def _same(got, want):
+    rows = got.collect()
+    got = {(r.i, r.j): tuple(r)[2:] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(_near(x, y) for k in want for x, y in zip(got[k], want[k]))
+
+
+def _no_product(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def _bits_like_expressions(spark, monkeypatch, methods):
+    _small_blocks(monkeypatch)
+    sets = [[], [1, 2, 3], [2, 3], [7], [1, 2, 3], [1, 1, 9], None, [None, 2], [2**30, 2], [3]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, bits array<int>")
+    _same(blocks.bit_pairs(rows, methods), _all(rows, *[S.bits(F.col("x"), F.col("y"), m) for m in methods]))
+    assert _no_product(blocks.bit_pairs(rows.where("id < 6"), methods))
+
+
+def test_sim14_bits_by_blocks(spark, monkeypatch):
+    _bits_like_expressions(spark, monkeypatch, ["tanimoto", "dice", "cosine", "sokal"])
