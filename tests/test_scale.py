@@ -71,3 +71,10 @@ def _bits_like_expressions(spark, monkeypatch, methods):
 
 def test_sim14_bits_by_blocks(spark, monkeypatch):
     _bits_like_expressions(spark, monkeypatch, ["tanimoto", "dice", "cosine", "sokal"])
+
+
+def test_sim15_bits_under_other_names(spark, monkeypatch):
+    from seqloom.plans import registry
+
+    _bits_like_expressions(spark, monkeypatch, ["jaccard", "euclidean"])
+    assert _no_product(registry.QUERIES["SIM-15"](spark, "/root/testdata/sf0.001"))
