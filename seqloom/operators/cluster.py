@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.core import cut, running
-from seqloom.operators import pairs
+from seqloom.operators import blocks, pairs
 from seqloom.operators.graph import connected_components
 
 
@@ -33,6 +33,16 @@ def neighbour_graph_clusters(ids: DataFrame, m: DataFrame, threshold: float = 0.
     return connected(ids, pairs.top_per_row(m, k).where(F.col("sim") >= threshold))
 
 
+def vector_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
+    """threshold_clusters under the scaled cosine of vectors, from links that join rather than from all pairs."""
+    return connected(vectors, blocks.links(vectors, threshold, "embedding_cosine"))
+
+
+def vector_graph_clusters(vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """neighbour_graph_clusters under the scaled cosine of vectors, without a table of all pairs."""
+    return connected(vectors, blocks.nearest(vectors, k, "embedding_cosine").where(F.col("score") >= threshold))
+
+
 def _linkage(sims: dict, members: list, threshold: float, complete: bool) -> list[int]:
     """Agglomerate members until no two groups reach the threshold; complete or average linkage, ties to low numbers."""
     groups = {k: [x] for k, x in enumerate(members)}

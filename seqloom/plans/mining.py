@@ -164,7 +164,7 @@ def vec_matrix(spark, sf):
 
 @query("CLU-3", f"WITH RECURSIVE {VEC}, {_components(0.75)}, {NUM} SELECT * FROM cl")
 def clu3(spark, sf):
-    return cluster.threshold_clusters(vectors(spark, sf), vec_matrix(spark, sf), 0.75)
+    return cluster.vector_clusters(vectors(spark, sf), 0.75)
 
 
 @query("CLU-4", f"WITH RECURSIVE {VEC}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rk FROM m), e AS (SELECT i, j FROM n WHERE rk <= 5 AND sim >= 0.7 UNION SELECT j, i FROM n WHERE rk <= 5 AND sim >= 0.7), cc AS (SELECT id, id AS root FROM s UNION SELECT e.j, cc.root FROM cc JOIN e ON e.i = cc.id), {NUM} SELECT * FROM cl")
