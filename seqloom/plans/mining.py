@@ -158,10 +158,6 @@ def clu2(spark, sf):
 VEC = "s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label FROM embeddings), m AS (SELECT a.id AS i, b.id AS j, (list_cosine_similarity(a.vector, b.vector) + 1) / 2 AS sim FROM s a JOIN s b ON a.id <> b.id)"
 
 
-def vec_matrix(spark, sf):
-    return pairs.matrix(vectors(spark, sf), None, "embedding_cosine", "vector")
-
-
 @query("CLU-3", f"WITH RECURSIVE {VEC}, {_components(0.75)}, {NUM} SELECT * FROM cl")
 def clu3(spark, sf):
     return cluster.vector_clusters(vectors(spark, sf), 0.75)
@@ -169,7 +165,7 @@ def clu3(spark, sf):
 
 @query("CLU-4", f"WITH RECURSIVE {VEC}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rk FROM m), e AS (SELECT i, j FROM n WHERE rk <= 5 AND sim >= 0.7 UNION SELECT j, i FROM n WHERE rk <= 5 AND sim >= 0.7), cc AS (SELECT id, id AS root FROM s UNION SELECT e.j, cc.root FROM cc JOIN e ON e.i = cc.id), {NUM} SELECT * FROM cl")
 def clu4(spark, sf):
-    return cluster.neighbour_graph_clusters(vectors(spark, sf), vec_matrix(spark, sf), 0.7, 5)
+    return cluster.vector_graph_clusters(vectors(spark, sf), 0.7, 5)
 
 
 @query("CLU-5", f"WITH RECURSIVE {EDGES}, {_components(0.6)}, {NUM} SELECT * FROM cl")

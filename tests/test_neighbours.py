@@ -38,3 +38,8 @@ def test_clu3_links_join_what_all_pairs_join(spark, monkeypatch):
         assert _groups(cluster.vector_clusters(rows, t)) == _groups(cluster.threshold_clusters(rows, _cosines(rows), t))
     links = blocks.links(_vectors(spark, monkeypatch), 0.75, "embedding_cosine")
     assert _no_product(blocks.links(rows, 0.75, "embedding_cosine")) and links.count() < 26 * 8
+
+
+def test_clu4_graph_of_nearest(spark, monkeypatch):
+    rows = _vectors(spark, monkeypatch, odd=False)
+    assert _groups(cluster.vector_graph_clusters(rows, 0.7, 2)) == _groups(cluster.neighbour_graph_clusters(rows, _cosines(rows), 0.7, 2))
