@@ -182,7 +182,7 @@ def clu5b(spark, sf):
 def clu6(spark, sf):
     """Fingerprints as 0/1 vectors under the scaled cosine."""
     v = vectors(spark, sf).select("id", F.transform("vector", lambda x: (x > 0).cast("double")).alias("vector"))
-    return cluster.threshold_clusters(v, pairs.matrix(v, None, "embedding_cosine", "vector"), 0.87)
+    return cluster.vector_clusters(v, 0.87)
 
 
 @query("CLU-7")

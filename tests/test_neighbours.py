@@ -43,3 +43,13 @@ def test_clu3_links_join_what_all_pairs_join(spark, monkeypatch):
 def test_clu4_graph_of_nearest(spark, monkeypatch):
     rows = _vectors(spark, monkeypatch, odd=False)
     assert _groups(cluster.vector_graph_clusters(rows, 0.7, 2)) == _groups(cluster.neighbour_graph_clusters(rows, _cosines(rows), 0.7, 2))
+
+
+def test_clu6_ties_at_the_threshold(spark, monkeypatch):
+    """37 common bits of 50 and 50: cosine 0.74, scaled 0.87, neither more nor less."""
+    monkeypatch.setattr(blocks, "LEAST", 1)
+    bits = [[1.0 if lo <= i < lo + 50 else 0.0 for i in range(64)] for lo in (0, 13, 14)]
+    rows = spark.createDataFrame(list(enumerate(bits)), "id long, vector array<double>")
+    assert _groups(cluster.vector_clusters(rows, 0.87)) == [("0", 0), ("0", 1), ("0", 2)]
+    assert len(_groups(cluster.vector_clusters(rows.where("id <> 1"), 0.87))) == 2
+    assert {c for c, _ in _groups(cluster.vector_clusters(rows.where("id <> 1"), 0.87))} == {"0", "1"}
