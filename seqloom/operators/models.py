@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators import metrics
+from seqloom.operators import blocks, metrics
 
 #: Estimators by name. Boosting libraries outside Spark (AdaBoost, XGBoost, LightGBM) have no counterpart here.
 ESTIMATORS = {
@@ -40,11 +40,10 @@ def run(rows: DataFrame, model: str = "logistic", seed: int = 42) -> DataFrame:
 
 def nearest_vote(rows: DataFrame, k: int = 5) -> DataFrame:
     """Share of positives among the k nearest train rows."""
-    d = F.aggregate(F.zip_with("vector", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    train = rows.where("split = 'train'").select(F.col("id").alias("j"), F.col("vector").alias("v"), F.col("label").alias("l"))
-    near = rows.join(train, F.col("id") != F.col("j")).withColumn("d", d)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))
-    vote = near.withColumn("r", rank).where(F.col("r") <= k).groupBy("id", "split", F.col("label").alias("y_true")).agg(F.avg("l").alias("y_score"))
+    near = blocks.nearest(rows, k, "squared_distance", offers=F.col("split") == "train")
+    label = rows.select(F.col("id").alias("j"), F.col("label").alias("l"))
+    share = near.join(label, "j").groupBy(F.col("i").alias("id")).agg(F.avg("l").alias("y_score"))
+    vote = rows.select("id", "split", F.col("label").alias("y_true")).join(share, "id")
     return vote.select("id", "split", "y_true", (F.col("y_score") >= 0.5).cast("int").alias("y_pred"), "y_score")
 
 

@@ -53,3 +53,14 @@ def test_clu6_ties_at_the_threshold(spark, monkeypatch):
     assert _groups(cluster.vector_clusters(rows, 0.87)) == [("0", 0), ("0", 1), ("0", 2)]
     assert len(_groups(cluster.vector_clusters(rows.where("id <> 1"), 0.87))) == 2
     assert {c for c, _ in _groups(cluster.vector_clusters(rows.where("id <> 1"), 0.87))} == {"0", "1"}
+
+
+def test_ml2_vote_of_the_nearest(spark, monkeypatch):
+    rows = _vectors(spark, monkeypatch, odd=False).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("split", F.when(F.col("id") % 3 == 0, "test").otherwise("train"))
+    got = models.nearest_vote(rows, 3)
+    assert _no_product(got)
+    data = {r.id: r for r in rows.collect()}
+    for r in got.collect():
+        near = sorted((sum((x - y) ** 2 for x, y in zip(data[r.id].vector, t.vector)), t.id, t.label) for t in data.values() if t.split == "train" and t.id != r.id)[:3]
+        assert abs(r.y_score - sum(l for _, _, l in near) / 3) < 1e-12 and r.y_true == r.id % 2
+    assert got.count() == 26
