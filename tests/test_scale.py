@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import properties as P
 from seqloom.functions import similarity as S
-from seqloom.operators import blocks
+from seqloom.operators import blocks, pairs
 
 
 def test_properties_count_residues_once(spark):
@@ -78,3 +78,15 @@ def test_sim15_bits_under_other_names(spark, monkeypatch):
 
     _bits_like_expressions(spark, monkeypatch, ["jaccard", "euclidean"])
     assert _no_product(registry.QUERIES["SIM-15"](spark, "/root/testdata/sf0.001"))
+
+
+def _vectors_like_expressions(spark, monkeypatch, method):
+    _small_blocks(monkeypatch)
+    rows = _vectors(spark)
+    got = pairs.upper_triangle(rows, method, "vector")
+    _same(got, _all(rows, S.similarity(method, F.col("x"), F.col("y"))))
+    assert _no_product(pairs.upper_triangle(rows.where("id < 4"), method, "vector"))
+
+
+def test_sim11_cosines_by_blocks(spark, monkeypatch):
+    _vectors_like_expressions(spark, monkeypatch, "embedding_cosine")
