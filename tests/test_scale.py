@@ -90,3 +90,7 @@ def _vectors_like_expressions(spark, monkeypatch, method):
 
 def test_sim11_cosines_by_blocks(spark, monkeypatch):
     _vectors_like_expressions(spark, monkeypatch, "embedding_cosine")
+
+
+def test_sim12_distances_by_blocks(spark, monkeypatch):
+    _vectors_like_expressions(spark, monkeypatch, "embedding_euclidean")
