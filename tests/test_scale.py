@@ -94,3 +94,7 @@ def test_sim11_cosines_by_blocks(spark, monkeypatch):
 
 def test_sim12_distances_by_blocks(spark, monkeypatch):
     _vectors_like_expressions(spark, monkeypatch, "embedding_euclidean")
+
+
+def test_sim13_products_by_blocks(spark, monkeypatch):
+    _vectors_like_expressions(spark, monkeypatch, "embedding_dot")
