@@ -151,7 +151,7 @@ def sim22(spark, sf):
 
 @query("SIM-23", f"WITH {VECTORS}, m AS (SELECT a.id AS i, b.id AS j, (list_cosine_similarity(a.vector, b.vector) + 1) / 2 AS sim FROM s a JOIN s b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j)::INTEGER AS rank FROM m) SELECT i, rank, j, sim FROM r WHERE rank <= 3")
 def sim23(spark, sf):
-    return pairs.top_per_row(pairs.matrix(vectors(spark, sf), None, "embedding_cosine", "vector"), 3)
+    return blocks.nearest(vectors(spark, sf), 3, "embedding_cosine").withColumnRenamed("score", "sim")
 
 
 @query("SIM-24", f"WITH {NAMES}, {MATRIX} SELECT i, j, sim FROM m WHERE i <> j AND sim > 0.6")

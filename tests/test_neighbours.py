@@ -78,3 +78,11 @@ def test_sim19_neighbours_share_a_bucket(spark, monkeypatch):
         assert sorted(got[i]) == [(n + 1, j) for n, (_, j) in enumerate(want)]
     plan = pairs.lsh_top(rows, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_sim23_nearest_with_ties(spark, monkeypatch):
+    rows = _vectors(spark, monkeypatch, odd=False)
+    want = sorted((r.i, r["rank"], r.j, r.sim) for r in pairs.top_per_row(_cosines(rows), 3).collect())
+    assert sorted(tuple(r) for r in blocks.nearest(rows, 3, "embedding_cosine").collect()) == want
+    more = blocks.nearest(_vectors(spark, monkeypatch), 3, "embedding_cosine").collect()
+    assert len(more) == 30 * 3 and {r.i for r in more} == set(range(30))
