@@ -139,3 +139,12 @@ def test_kmr8_a_task_hands_each_kmer_on_once(spark, monkeypatch):
     found = [x for names, *_ in out for x in names]
     assert len(found) == len(set(found)) == 20 + 20
     assert sum(sum(n) for _, n, _ in out) == 4000 * (999 + 996)
+
+
+def test_neg17_shuffles_in_many_tasks(spark):
+    from seqloom.operators import sampling
+
+    rows = spark.createDataFrame([(i, "ABCABDABE"[: i % 9 + 1]) for i in range(50)], "id long, sequence string").coalesce(1)
+    got = sampling.shuffle_sequences(rows)
+    assert got.rdd.getNumPartitions() >= 16
+    assert {r.id: r.sequence for r in got.collect()} == {i: sampling.shuffled("ABCABDABE"[: i % 9 + 1], 42, i) for i in range(50)}
