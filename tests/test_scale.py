@@ -148,3 +148,18 @@ def test_neg17_shuffles_in_many_tasks(spark):
     got = sampling.shuffle_sequences(rows)
     assert got.rdd.getNumPartitions() >= 16
     assert {r.id: r.sequence for r in got.collect()} == {i: sampling.shuffled("ABCABDABE"[: i % 9 + 1], 42, i) for i in range(50)}
+
+
+def test_neg18_scores_some_rows_a_task(spark, monkeypatch):
+    """Few pool rows a task, whatever the files; the same rows as k-mer gaps taken by hand give."""
+    from seqloom.operators import sampling
+
+    monkeypatch.setattr(sampling, "SCORED_ROWS", 2, raising=False)
+    seen = []
+    real = sampling.__dict__.get("spread")
+    monkeypatch.setattr(sampling, "spread", lambda rows, *by, most=None: seen.append(most) or real(rows, *by, most=most), raising=False)
+    pool = spark.createDataFrame([(i, "AB" * (i % 3 + 1) if i % 2 else "XY" * (i % 3 + 1)) for i in range(40)], "id long, sequence string")
+    positives = spark.createDataFrame([(100, "ABAB")], "id long, sequence string")
+    chosen = pool.where("id < 6").select("id")
+    got = {r.id for r in sampling.swap_for_kmers(chosen, pool, positives, swaps=2).collect()}
+    assert seen == [2] and len(got) == 6 and len(got & {0, 2, 4}) == 1
