@@ -254,9 +254,7 @@ def jon9(spark, sf):
 
 @query("JON-10", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def jon10(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
-    return a.join(b, ["p_name", "p_brand", "p_type"]).where("a < b").select("a", "b")
+    return pairs.equal_pairs(table(spark, sf, "part").withColumnRenamed("p_partkey", "id"), ["p_name", "p_brand", "p_type"])
 
 
 @query("JON-11", "WITH b AS (SELECT * FROM (VALUES (0, -1000.0, 0.0), (1, 0.0, 2500.0), (2, 2500.0, 5000.0), (3, 5000.0, 7500.0), (4, 7500.0, 10000.0)) t(bin, lo, hi)) SELECT bin::INTEGER AS bin, count(*) AS n, sum(c_acctbal) AS total FROM customer JOIN b ON c_acctbal > lo AND c_acctbal <= hi GROUP BY bin")

@@ -163,3 +163,11 @@ def test_neg18_scores_some_rows_a_task(spark, monkeypatch):
     chosen = pool.where("id < 6").select("id")
     got = {r.id for r in sampling.swap_for_kmers(chosen, pool, positives, swaps=2).collect()}
     assert seen == [2] and len(got) == 6 and len(got & {0, 2, 4}) == 1
+
+
+def test_jon10_equal_pairs_in_chunks(spark, monkeypatch):
+    keys = ["a"] * 23 + ["b"] * 2 + ["c"] + [None] * 3
+    rows = spark.createDataFrame([(i, k, "x") for i, k in enumerate(keys)], "id long, k string, l string")
+    got = sorted((r.a, r.b) for r in pairs.equal_pairs(rows, ["k", "l"], chunk=4).collect())
+    assert got == sorted((i, j) for i in range(29) for j in range(i + 1, 29) if keys[i] and keys[i] == keys[j])
+    assert pairs.equal_pairs(rows, ["k", "l"], chunk=4).rdd.getNumPartitions() >= 16
