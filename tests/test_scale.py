@@ -171,3 +171,11 @@ def test_jon10_equal_pairs_in_chunks(spark, monkeypatch):
     got = sorted((r.a, r.b) for r in pairs.equal_pairs(rows, ["k", "l"], chunk=4).collect())
     assert got == sorted((i, j) for i in range(29) for j in range(i + 1, 29) if keys[i] and keys[i] == keys[j])
     assert pairs.equal_pairs(rows, ["k", "l"], chunk=4).rdd.getNumPartitions() >= 16
+
+
+def test_kmr7_memory_of_a_worker_stays(spark, monkeypatch):
+    """Ten times the sequences, in one batch, take no ten times the memory, also with texts counted."""
+    few, small = _kmer_counts_and_peak(spark, monkeypatch, 500, ks=[3])
+    many, large = _kmer_counts_and_peak(spark, monkeypatch, 5000, ks=[3])
+    assert [r for _, _, rows in many for r in rows] == [5000] * 20
+    assert large < 1.5 * small and large < 60e6
