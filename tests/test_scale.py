@@ -179,3 +179,13 @@ def test_kmr7_memory_of_a_worker_stays(spark, monkeypatch):
     many, large = _kmer_counts_and_peak(spark, monkeypatch, 5000, ks=[3])
     assert [r for _, _, rows in many for r in rows] == [5000] * 20
     assert large < 1.5 * small and large < 60e6
+
+
+def test_kmr4_kmr5_kmr6_one_pass(spark):
+    """Statistics and their denominators read the sequences once, and later uses start from them."""
+    from seqloom.operators import kmers
+
+    s = spark.createDataFrame([(1, "ACDE"), (2, "AC"), (3, "A")], "id long, sequence string")
+    stats = kmers.kmer_stats(s, 2)
+    assert "MapInArrow" not in stats._jdf.queryExecution().executedPlan().toString()
+    assert {r.kmer: (r.occurrence, r["count"], r.freq_ratio) for r in stats.collect()} == {"AC": (2, 2, 1.0), "CD": (1, 1, 0.5), "DE": (1, 1, 0.5)}
