@@ -189,3 +189,32 @@ def test_kmr4_kmr5_kmr6_one_pass(spark):
     stats = kmers.kmer_stats(s, 2)
     assert "MapInArrow" not in stats._jdf.queryExecution().executedPlan().toString()
     assert {r.kmer: (r.occurrence, r["count"], r.freq_ratio) for r in stats.collect()} == {"AC": (2, 2, 1.0), "CD": (1, 1, 0.5), "DE": (1, 1, 0.5)}
+
+
+def test_labelled_counts_hold_little(spark, monkeypatch):
+    """KMR-14 and ENR-6 to ENR-9: windows of texts with labels, ten times the rows in one batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    run = _labelled_counter(spark, monkeypatch)
+    peaks = []
+    for rows in (400, 4000):
+        batch = pa.RecordBatch.from_arrays([pa.array(["ACDEFGHIKLMNPQRSTVWY" * 50] * rows), pa.array([0, 1] * (rows // 2), pa.int32())], ["sequence", "label"])
+        tracemalloc.start()
+        out = [r for b in run(iter([batch])) for r in zip(b.column("label").to_pylist(), b.column("rows").to_pylist())]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sorted(out) == [(0, rows // 2)] * 20 + [(1, rows // 2)] * 20
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def _labelled_counter(spark, monkeypatch):
+    from seqloom.operators import kmers
+
+    caught = []
+    seqs = spark.createDataFrame([("A", 1)], "sequence string, label int")
+    monkeypatch.setattr(type(seqs), "mapInArrow", lambda self, f, schema: caught.append(f))
+    kmers.counted(seqs, [3], "label")
+    monkeypatch.undo()
+    return caught[0]
